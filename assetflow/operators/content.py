@@ -9,7 +9,7 @@ from assetflow.constants import BATCH_SIZE, MAX_SAMPLES, NEEDLE
 from assetflow.functions import signals
 from assetflow.functions.text import canonical_json
 from assetflow.operators.batching import batch_assign
-from assetflow.shared import broadcast_if_small
+from assetflow.shared import broadcast_if_small, stage
 
 # ------------------------------------------------------------------ text
 
@@ -43,11 +43,12 @@ def text_totals(texts: DataFrame, *keys: str) -> DataFrame:
 def text_batch_stats(texts: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """Characters and files with the word in each batch of a type.
 
-    Texts are measured where they are read; only the measures are ranked into batches.
+    Texts are read once, and measured where they are read; only the measures, which are written
+    out first, are ranked into batches.
     """
     measured = text_measures(texts).select("ext", "path", "asset_id", "chars", "has_word")
     return (
-        batch_assign(measured, ["ext"], ["path", "asset_id"], size)
+        batch_assign(stage(measured, "measures"), ["ext"], ["path", "asset_id"], size)
         .groupBy("ext", "batch_id")
         .agg(
             F.count("*").alias("num_files"),

@@ -28,7 +28,8 @@ def unsupported(classified: DataFrame) -> DataFrame:
 
 def category_table(spark: SparkSession) -> DataFrame:
     """The extension -> folder dimension; five rows."""
-    return spark.createDataFrame(list(CATEGORY_BY_EXT.items()), "ext string, folder string")
+    rows = ", ".join(f"('{ext}', '{folder}')" for ext, folder in CATEGORY_BY_EXT.items())
+    return spark.sql(f"select * from values {rows} as t(ext, folder)")
 
 
 def count_by_ext(classified: DataFrame) -> DataFrame:

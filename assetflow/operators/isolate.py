@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetflow.shared import spread
+
 BatchFunction = Callable[[pd.DataFrame], object]
 
 
@@ -32,10 +34,10 @@ def batch_apply_timed(batches: DataFrame, keys: Sequence[str], fn: BatchFunction
         start = time.perf_counter()
         error = _error(fn, pdf)
         elapsed = time.perf_counter() - start if error is None else None
-        row = pdf[list(keys)].head(1).reset_index(drop=True)
-        return row.assign(n_files=len(pdf), elapsed_sec=elapsed, error=error)
+        row = {k: pdf[k].iloc[:1].array for k in keys}
+        return pd.DataFrame({**row, "n_files": len(pdf), "elapsed_sec": elapsed, "error": error})
 
-    return batches.groupBy(*keys).applyInPandas(
+    return spread(batches, *keys).groupBy(*keys).applyInPandas(
         run, f"{fields}, n_files long, elapsed_sec double, error string"
     )
 
@@ -66,7 +68,7 @@ def isolate_bad(
                 pending += [(lo, mid), (mid, hi)]
         return pdf[list(id_columns)].assign(ok=[e is None for e in errors], error=errors)
 
-    return batches.groupBy(*keys).applyInPandas(run, f"{fields}, ok boolean, error string")
+    return spread(batches, *keys).groupBy(*keys).applyInPandas(run, f"{fields}, ok boolean, error string")
 
 
 def bad_only(isolated: DataFrame) -> DataFrame:

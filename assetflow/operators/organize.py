@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.operators.naming import unique_names
-from assetflow.shared import stage
+from assetflow.shared import spread, stage
 
 _COPIED = "src string, dst string, size_bytes long, ok boolean, error string"
 
@@ -76,7 +76,7 @@ def organize_copy(plan: DataFrame) -> DataFrame:
     runs twice leaves the same result. Runs when called; the outcome is stored, not repeated.
     """
     work = plan.select(F.col("path").alias("src"), F.col("dest").alias("dst"))
-    return stage(work.repartition("src").mapInPandas(_copy_batches, _COPIED), "copied")
+    return stage(spread(work, "src").mapInPandas(_copy_batches, _COPIED), "copied")
 
 
 def write_by_category(files: DataFrame, path: str) -> None:

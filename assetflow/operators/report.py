@@ -176,7 +176,8 @@ def totals_at_checkpoints(
     timings: DataFrame, checkpoints: Sequence[int] = CURVE_CHECKPOINTS
 ) -> DataFrame:
     """Units and time up to each checkpoint, per type and engine."""
-    marks = timings.sparkSession.createDataFrame([(n,) for n in checkpoints], "checkpoint long")
+    rows = ", ".join(f"({n}L)" for n in checkpoints)
+    marks = timings.sparkSession.sql(f"select * from values {rows} as t(checkpoint)")
     steps = _steps(_ranked_units(timings), checkpoints).filter(F.col("step").isNotNull())
     return (
         steps.join(F.broadcast(marks), F.col("step") <= F.col("checkpoint"))

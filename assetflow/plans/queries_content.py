@@ -13,7 +13,7 @@ from assetflow.functions.text import decode_text
 from assetflow.operators import batching, content, inventory, isolate, video
 from assetflow.plans.catalog import query
 from assetflow.plans.processors import processor_for
-from assetflow.shared import broadcast_if_small, new_path
+from assetflow.shared import broadcast_if_small, new_path, stage
 from assetflow.sources import reports, views
 
 # ------------------------------------------------------------------ videos
@@ -237,7 +237,7 @@ def append_failure_log(spark, sf):
     batches, log = _video_batches(spark, sf, 8), new_path(spark, "failures")
     outcome = isolate.batch_apply_timed(batches, ["batch_id"], _open_all)
     failed = outcome.filter(F.col("error").isNotNull()).select("batch_id")
-    rows = batches.join(failed, "batch_id", "left_semi").select("batch_id", "path", "asset_id")
+    rows = stage(batches.join(failed, "batch_id", "left_semi").select("batch_id", "path", "asset_id"))
     for run in ("first", "second", "second"):  # a repeated run is logged once
         reports.append_failure_log(rows, log, run)
     return reports.read_failure_log(spark, log)

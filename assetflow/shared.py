@@ -61,6 +61,16 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if at_most(df, MAX_BROADCAST_ROWS) else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all task slots, for Python work that costs more than its bytes.
+
+    Adaptive execution would merge small partitions and run such work in a few tasks.
+    """
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *keys)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match; keeps the left side's key columns.
 

@@ -65,7 +65,9 @@ def cache_manifest(spark: SparkSession, cache: str) -> DataFrame:
     schema = "source_id string, num_rows long, run_id string"
     _, manifest = _paths(cache)
     if not path_exists(spark, manifest):
-        return spark.createDataFrame([], schema)
+        return spark.range(0).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)]
+        )
     return spark.read.schema(schema).parquet(manifest)
 
 

@@ -138,10 +138,10 @@ def duckdb_sql(sql: str) -> str:
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips with ``waveform``, one array per channel."""
     clips = view(spark, sf_dir, SIGNALS)
-    channel = lambda c: F.filter("samples", lambda _, i: i % F.col("channels") == c)
-    return clips.withColumn(
-        "waveform", F.transform(F.sequence(F.lit(0), (F.col("channels") - 1).cast("int")), channel)
-    ).drop("samples")
+    left = F.filter("samples", lambda _, i: i % 2 == 0)
+    right = F.filter("samples", lambda _, i: i % 2 == 1)
+    waveform = F.when(F.col("channels") == 1, F.array("samples")).otherwise(F.array(left, right))
+    return clips.withColumn("waveform", waveform).drop("samples")
 
 
 def sheet_layouts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
