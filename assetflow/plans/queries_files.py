@@ -350,7 +350,7 @@ def nonempty_frames(spark, sf):
     return sheet_sources.nonempty_sources(sheets, listed)
 
 
-_CACHED_FIRST = F.col("source_id") < "G"  # the sheets that are in the cache beforehand
+_CACHED_FIRST = "source_id < 'G'"  # the sheets that are in the cache beforehand
 
 
 def _half_cached(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:

@@ -38,10 +38,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/assetflow/{app}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` exists on the file system it belongs to."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    file_system, hadoop_path = _file_system(spark, path)
+    return file_system.exists(hadoop_path)
+
+
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """``path`` the way Spark lists it, with its scheme."""
+    file_system, hadoop_path = _file_system(spark, path)
+    return file_system.makeQualified(hadoop_path).toString()
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

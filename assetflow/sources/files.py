@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetflow.functions.text import decode_text
+from assetflow.shared import qualified_path
 
 
 def _listing(files: DataFrame) -> DataFrame:
@@ -26,13 +27,14 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_by_glob(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """Files directly in ``root`` that match ``pattern``, ordered by path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
-    folder = root.rstrip("/").split("/")[-1]
-    return (
-        _listing(files)
-        .filter(F.element_at(F.split("path", "/"), -2) == folder)
-        .orderBy("path")
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")  # else folders like day=1 are taken for columns
+        .option("pathGlobFilter", pattern)
+        .load(root)
     )
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    return _listing(files).filter(parent == qualified_path(spark, root)).orderBy("path")
 
 
 def read_text_whole(spark: SparkSession, root: str) -> DataFrame:

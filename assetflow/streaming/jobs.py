@@ -23,6 +23,7 @@ def file_arrivals(spark: SparkSession, root: str, max_files: int = BATCH_SIZE) -
     """Files as they appear below ``root``: path, size_bytes, modified_at."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
         .load(root)

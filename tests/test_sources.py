@@ -1,0 +1,150 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from assetflow.operators import organize
+from assetflow.operators.inventory import classify
+from assetflow.plans.jobs import organize_collection
+from assetflow.sources import files, reports, sheets
+
+
+@pytest.fixture
+def tree(tmp_path):
+    contents = {
+        "a.txt": b"one\r\ntwo",
+        "sub/a.txt": b"bad \xff byte",
+        "sub/deep/A.MP4": b"0" * 50,
+        "b.mp4": b"1" * 10,
+        "c.mp4": b"2" * 20,
+        "notes.bin": b"x",
+        "day=1/d.mp4": b"3",
+        ".hidden.txt": b"not listed",
+    }
+    for name, data in contents.items():
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+        os.utime(path, (1_600_000_000, 1_600_000_000))
+    return tmp_path / "in"
+
+
+def test_scan_files(spark, tree):
+    found = files.scan_files(spark, str(tree))
+    listing = {r.path.removeprefix(f"file:{tree}/"): r.size_bytes for r in found.collect()}
+    assert listing == {
+        "a.txt": 8,
+        "sub/a.txt": 10,
+        "sub/deep/A.MP4": 50,
+        "b.mp4": 10,
+        "c.mp4": 20,
+        "notes.bin": 1,
+        "day=1/d.mp4": 1,
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_scan_by_glob(spark, tree):
+    found = files.scan_by_glob(spark, str(tree), "*.mp4").collect()
+    assert [r.path for r in found] == [f"file:{tree}/b.mp4", f"file:{tree}/c.mp4"]
+
+
+def test_read_text_whole(spark, tree):
+    texts = files.read_text_whole(spark, str(tree / "sub")).filter(F.col("path").endswith(".txt"))
+    assert [r.text for r in texts.collect()] == ["bad  byte"]
+
+
+def test_organize_copy(spark, tree, tmp_path):
+    out = tmp_path / "out"
+    copied = organize_collection(spark, f"file:{tree}", str(out)).collect()
+    assert all(r.ok for r in copied) and len(copied) == 6
+    stored = {str(p.relative_to(out)): p.read_bytes() for p in out.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert stored == {
+        "text/a.txt": b"one\r\ntwo",
+        "text/a_1.txt": b"bad \xff byte",
+        "videos/A.MP4": b"0" * 50,
+        "videos/b.mp4": b"1" * 10,
+        "videos/c.mp4": b"2" * 20,
+        "videos/d.mp4": b"3",
+    }
+    assert (out / "text/a_1.txt").stat().st_mtime == 1_600_000_000
+
+
+def test_copy_failure_stays_with_its_file(spark, tree, tmp_path):
+    plan = spark.createDataFrame(
+        [(f"file:{tree}/b.mp4", f"{tmp_path}/o/b.mp4"), (f"file:{tree}/gone.mp4", f"{tmp_path}/o/gone.mp4")],
+        "path string, dest string",
+    )
+    got = {os.path.basename(r.src): (r.ok, r.error is None) for r in organize.organize_copy(plan).collect()}
+    assert got == {"b.mp4": (True, True), "gone.mp4": (False, False)}
+    assert os.listdir(tmp_path / "o") == ["b.mp4"]
+
+
+def test_write_by_category(spark, tmp_path):
+    df = classify(spark.createDataFrame([("x/a.txt",), ("x/b.json",), ("x/c.wav",), ("x/d.bin",)], "path string"))
+    organize.write_by_category(df, str(tmp_path / "c"))
+    folders = {p for p in os.listdir(tmp_path / "c") if p.startswith("folder=")}
+    assert folders == {"folder=text", "folder=audio"}
+
+
+def test_sheets_with_different_columns(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a/1.csv").write_text("x,y\n1,2.5\n2,3.5\n")
+    (tmp_path / "a/2.csv").write_text("x,y\n3,\n")
+    (tmp_path / "b/1.csv").write_text("x,z\n4,hello\n")
+    got = sheets.read_sheets(spark, [(str(tmp_path / "a"), None), (str(tmp_path / "b"), "x int, z string")])
+    rows = sorted((r.x, r.y, r.z, r.source_id.split("/")[-2:]) for r in got.collect())
+    assert rows == [
+        (1, 2.5, None, ["a", "1.csv"]),
+        (2, 3.5, None, ["a", "1.csv"]),
+        (3, None, None, ["a", "2.csv"]),
+        (4, None, "hello", ["b", "1.csv"]),
+    ]
+
+
+def test_cache(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    sheet = spark.createDataFrame([("/p/s", 1), ("/p/s", 2), ("/q/s", 3)], "source_id string, v int")
+    with pytest.raises(RuntimeError, match="^2 source"):
+        sheets.cache_require(sheet, sheets.cache_manifest(spark, cache))
+    assert sheets.cache_incremental(sheet.filter("source_id = '/p/s'"), cache) == 1
+    assert sheets.cache_incremental(sheet, cache) == 1
+    assert sheets.cache_incremental(sheet, cache) == 0
+    sheets.cache_require(sheet, sheets.cache_manifest(spark, cache))
+    # A run that stopped before its manifest entry leaves rows nobody reads.
+    sheet.write.parquet(f"{cache}/data/run_id=stopped")
+    assert sorted(r.v for r in sheets.read_cached(spark, cache).collect()) == [1, 2, 3]
+
+
+def test_report_csv_keeps_missing_ratios(spark, tmp_path):
+    path = str(tmp_path / "report")
+    report = spark.sql(
+        "select 'mp4' file_type, 3L num_files, 1.5D baseline_sec, 0D accel_sec, 500D baseline_avg_ms, 0D accel_avg_ms, "
+        "cast(null as double) speedup_ratio, 0L baseline_errors, 1L accel_errors, 2L accel_excluded, "
+        "'UNRELIABLE (err_rate=100.0%)' data_quality"
+    )
+    made = []
+
+    def make():
+        made.append(1)
+        return report
+
+    for reuse in (True, True, False):
+        stored = reports.load_or_make_report(spark, path, make, reuse)
+        assert stored.collect() == report.collect()
+    assert len(made) == 2
+    (part,) = [p for p in os.listdir(path) if p.endswith(".csv")]
+    assert (tmp_path / "report" / part).read_text().splitlines()[1] == (
+        "mp4,3,1.5,0.0,500.0,0.0,,0,1,2,UNRELIABLE (err_rate=100.0%)"
+    )
+
+
+def test_failure_log_grows_by_run(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "a"), (1, "b")], "batch_id long, path string")
+    for run in ("1", "2", "2"):
+        reports.append_failure_log(rows, log, run)
+    got = sorted((r.run_id, r.path) for r in reports.read_failure_log(spark, log).collect())
+    assert got == [("1", "a"), ("1", "b"), ("2", "a"), ("2", "b")]
