@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from assetflow.constants import CATEGORY_BY_EXT, SUPPORTED_EXTS
 
-# A suffix needs a character before its dot and at least one after it.
-_SUFFIX = r"(?s)^.+(\.[^.]+)\z"
-
-
 def file_name(path: Column) -> Column:
     """Last path component."""
     return F.substring_index(path, "/", -1)
 
 
+def _after_last_dot(name: Column) -> Column:
+    """Text after the last dot; null without a dot that has something before it."""
+    last = F.substring_index(name, ".", -1)
+    return F.when(F.length(name) - F.length(last) > 1, last)
+
+
 def suffix(name: Column) -> Column:
     """``.ext`` as written, or an empty string."""
-    return F.regexp_extract(name, _SUFFIX, 1)
+    last = _after_last_dot(name)
+    return F.when(last != "", F.concat(F.lit("."), last)).otherwise("")
 
 
 def stem(name: Column) -> Column:
@@ -30,7 +33,7 @@ def stem(name: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """Lower-cased suffix without the dot; empty when there is none."""
-    return F.lower(F.substr(suffix(file_name(path)), F.lit(2)))
+    return F.coalesce(F.lower(_after_last_dot(file_name(path))), F.lit(""))
 
 
 def supported_extension(path: Column) -> Column:

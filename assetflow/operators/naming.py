@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.functions import paths
-from assetflow.operators.ranking import rank_rows, running_totals
+from assetflow.operators.ranking import POS, range_sorted, rank_rows, running_totals, totals_of_sorted
 from assetflow.shared import at_most, broadcast_if_small, join_on, stage
 
 _NUMBERED = r"(?s)^(.*)_([1-9][0-9]*)\z"
@@ -42,13 +42,15 @@ def unique_names(files: DataFrame, existing: DataFrame | None = None) -> DataFra
                 F.lit(None).cast(files.schema["asset_id"].dataType).alias("asset_id"),
             )
         )
-    ranked = rank_rows(rows, ["folder", "name"], _TIME, "_k").withColumn("_k", F.col("_k") - 1)
+    in_order = range_sorted(rows, ["folder", "name"], _TIME)
+    ranked = totals_of_sorted(in_order, ["folder", "name"], {"_k": F.lit(1)})
+    ranked = ranked.withColumn("_k", F.col("_k") - 1)
     name = F.col("name")
     numbered = F.concat(
         paths.stem(name), F.lit("_"), F.col("slot").cast("string"), paths.suffix(name)
     )
     return (
-        _with_slots(ranked)
+        _with_slots(ranked, in_order)
         .filter(F.col("_new") == 1)
         .select(
             "path",
@@ -61,12 +63,12 @@ def unique_names(files: DataFrame, existing: DataFrame | None = None) -> DataFra
     )
 
 
-def _with_slots(ranked: DataFrame) -> DataFrame:
-    pairs = stage(_numbered_pairs(ranked), "name-pairs")
+def _with_slots(ranked: DataFrame, in_order: DataFrame) -> DataFrame:
+    pairs = stage(_numbered_pairs(in_order), "name-pairs")
     if at_most(pairs, 0):
         return ranked.withColumn("slot", F.col("_k"))
 
-    settled = _settle(stage(_rows_before(ranked, pairs), "name-order"))
+    settled = _settle(stage(_rows_before(in_order, pairs), "name-order"))
     # ``_lost`` = the group's plain name went to a file of the shorter name.
     lost = settled.filter("displaced").select("folder", F.col("child").alias("name"), F.lit(1).alias("_lost"))
     shifted = join_on(ranked, broadcast_if_small(lost), ["folder", "name"], "left").withColumn(
@@ -92,41 +94,44 @@ def _with_slots(ranked: DataFrame) -> DataFrame:
     return simple.unionByName(stepped.select(*simple.columns))
 
 
-def _numbered_pairs(ranked: DataFrame) -> DataFrame:
-    """Names ``child`` = ``parent`` + ``_k`` that both occur, where the parent may want slot k."""
+def _numbered_pairs(in_order: DataFrame) -> DataFrame:
+    """Names ``child`` = ``parent`` + ``_k`` that both occur, where the parent may want slot k.
+
+    ``start`` is the place of the child's first file in ``in_order``.
+    """
     name = F.col("name")
     groups = (
-        ranked.groupBy("folder", "name")
-        .agg(F.count("*").alias("_n"), F.min(F.struct(*_TIME)).alias("_start"))
+        in_order.groupBy("folder", "name")
+        .agg(F.count("*").alias("_n"), F.min(POS).alias("start"))
         .withColumn("_stem", paths.stem(name))
         .withColumn("_suffix", paths.suffix(name))
-        .withColumn("_k", F.regexp_extract("_stem", _NUMBERED, 2).try_cast("long"))
+        .withColumn("k", F.regexp_extract("_stem", _NUMBERED, 2).try_cast("long"))
     )
-    children = groups.filter(F.col("_k").isNotNull()).select(
+    children = groups.filter(F.col("k").isNotNull()).select(
         F.col("folder"),
         F.regexp_extract("_stem", _NUMBERED, 1).alias("_stem"),
         F.col("_suffix"),
         F.col("name").alias("child"),
-        F.col("_k").alias("k"),
-        F.col("_start"),
+        F.col("k"),
+        F.col("start"),
     )
     # One file that keeps its own name never asks for a numbered one.
-    asking = groups.filter((F.col("_n") > 1) | F.col("_k").isNotNull()).select(
+    asking = groups.filter((F.col("_n") > 1) | F.col("k").isNotNull()).select(
         "folder", "_stem", "_suffix", F.col("name").alias("parent")
     )
-    return children.join(asking, ["folder", "_stem", "_suffix"]).select(
-        "folder", "parent", "child", "k", "_start.*"
-    )
+    return children.join(asking, ["folder", "_stem", "_suffix"]).drop("_stem", "_suffix")
 
 
-def _rows_before(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
+def _rows_before(in_order: DataFrame, pairs: DataFrame) -> DataFrame:
     """Add ``before``: files of the parent name that come before the child's first file."""
     parents = broadcast_if_small(pairs.select("folder", F.col("parent").alias("name")).distinct())
-    files = join_on(ranked.select("folder", "name", *_TIME), parents, ["folder", "name"], "left_semi")
+    files = join_on(in_order.select("folder", "name", *_TIME), parents, ["folder", "name"], "left_semi")
+    times = in_order.select(F.col(POS).alias("start"), *_TIME)
+    children = times.join(broadcast_if_small(pairs), "start").drop("start")
     merged = (
         files.withColumnRenamed("name", "parent")
         .withColumn("_file", F.lit(1))
-        .unionByName(pairs.withColumn("_file", F.lit(0)), allowMissingColumns=True)
+        .unionByName(children.withColumn("_file", F.lit(0)), allowMissingColumns=True)
     )
     counted = running_totals(merged, ["folder", "parent"], _TIME, {"before": F.col("_file")})
     return counted.filter(F.col("_file") == 0).select("folder", "parent", "child", "k", "before")

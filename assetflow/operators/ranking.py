@@ -15,20 +15,21 @@ from pyspark.sql import functions as F
 
 from assetflow.shared import MAX_BROADCAST_ROWS, at_most, join_on, stage
 
-_POS = "_pos"  # increases through the whole range-sorted table
+POS = "_pos"  # increases through the whole range-sorted table
 _PART = "_part"  # partition a row was sorted in
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def _range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Write ``df`` sorted by keys and order; adds ``POS``, which increases in that order."""
     cols = [*keys, *order]
     ranged = (
         df.repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
-        .withColumn(_POS, F.monotonically_increasing_id())
+        .withColumn(POS, F.monotonically_increasing_id())
     )
     # Written, so that counting and numbering see the same partitions.
-    return stage(ranged, "ranked").withColumn(_PART, F.shiftright(_POS, _POS_BITS))
+    return stage(ranged, "ranked").withColumn(_PART, F.shiftright(POS, _POS_BITS))
 
 
 def _earlier(keys: Sequence[str]):
@@ -41,23 +42,18 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     """Add ``out`` = 1, 2, ... in ``order`` within ``keys``; ``order`` must be unique per key.
 
     Runs when called: the sorted rows are written to the shared folder. Select the columns
-    needed before calling.
+    needed before calling. For keys that are as many as the rows, use ``running_totals``.
     """
-    rows = _range_sorted(df, keys, order)
-    runs = rows.groupBy(_PART, *keys).agg(
-        F.min(_POS).alias("_first"), F.count("*").alias("_n")
-    )
+    rows = range_sorted(df, keys, order)
+    runs = rows.groupBy(_PART, *keys).agg(F.min(POS).alias("_first"), F.count("*").alias("_n"))
     if not at_most(runs, MAX_BROADCAST_ROWS):
-        return _running(rows, keys, {out: F.lit(1)})
-    base = runs.select(
-        _PART,
-        *keys,
-        (F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)) - F.col("_first") + 1).alias("_base"),
-    )
+        return totals_of_sorted(rows, keys, {out: F.lit(1)})
+    earlier_rows = F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0))
+    base = runs.select(_PART, *keys, (earlier_rows - F.col("_first") + 1).alias("_base"))
     return (
         join_on(rows, F.broadcast(base), [_PART, *keys])
-        .withColumn(out, F.col(_POS) + F.col("_base"))
-        .drop(_POS, _PART, "_base")
+        .withColumn(out, F.col(POS) + F.col("_base"))
+        .drop(POS, _PART, "_base")
     )
 
 
@@ -68,20 +64,23 @@ def running_totals(
 
     Works at any number and size of keys. Runs when called, like ``rank_rows``.
     """
-    return _running(_range_sorted(df, keys, order), keys, totals)
+    return totals_of_sorted(range_sorted(df, keys, order), keys, totals)
 
 
-def _running(rows: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+def totals_of_sorted(
+    rows: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
+) -> DataFrame:
+    """``running_totals`` of what ``range_sorted`` returned."""
     so_far = (
         Window.partitionBy(_PART, *keys)
-        .orderBy(_POS)
+        .orderBy(POS)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     sums = [F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()]
     # Only a partition's first and last key can continue elsewhere.
     if keys:
         ends = rows.groupBy(_PART).agg(
-            F.min_by(F.struct(*keys), _POS).alias("_lo"), F.max_by(F.struct(*keys), _POS).alias("_hi")
+            F.min_by(F.struct(*keys), POS).alias("_lo"), F.max_by(F.struct(*keys), POS).alias("_hi")
         )
         split_keys = ends.select(F.explode(F.array("_lo", "_hi")).alias("_k")).select("_k.*").distinct()
         runs = join_on(rows, F.broadcast(split_keys), keys, "left_semi")
@@ -102,5 +101,5 @@ def _running(rows: DataFrame, keys: Sequence[str], totals: Mapping[str, Column])
                 for name in totals
             }
         )
-        .drop(_POS, _PART, *[f"_off_{name}" for name in totals])
+        .drop(POS, _PART, *[f"_off_{name}" for name in totals])
     )

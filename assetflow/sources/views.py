@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -120,8 +121,14 @@ def _fill(sql: str, names: dict[str, str]) -> str:
     return sql
 
 
+_schemas: dict[str, T.StructType] = {}  # a table's schema is read from its footer once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, read=table) -> DataFrame:
