@@ -11,17 +11,15 @@ among distinct names, of which a name's files are only a count.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.functions import paths
-from assetflow.operators.ranking import POS, range_sorted, rank_rows, running_totals, totals_of_sorted
+from assetflow.operators.ranking import PART, POS, range_sorted, running_totals, totals_of_sorted
 from assetflow.shared import at_most, broadcast_if_small, join_on, stage
 
 _NUMBERED = r"(?s)^(.*)_([1-9][0-9]*)\z"
 _TIME = ["_new", "path", "asset_id"]  # what is in the folder already comes first
-_CHUNK = 500_000  # numbered names of one name settled in one task at a time
 
 
 def unique_names(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -43,7 +41,7 @@ def unique_names(files: DataFrame, existing: DataFrame | None = None) -> DataFra
             )
         )
     in_order = range_sorted(rows, ["folder", "name"], _TIME)
-    ranked = totals_of_sorted(in_order, ["folder", "name"], {"_k": F.lit(1)})
+    ranked = totals_of_sorted(in_order, ["folder", "name"], {"_k": F.lit(1)}).drop(POS, PART)
     ranked = ranked.withColumn("_k", F.col("_k") - 1)
     name = F.col("name")
     numbered = F.concat(
@@ -68,7 +66,7 @@ def _with_slots(ranked: DataFrame, in_order: DataFrame) -> DataFrame:
     if at_most(pairs, 0):
         return ranked.withColumn("slot", F.col("_k"))
 
-    settled = _settle(stage(_rows_before(in_order, pairs), "name-order"))
+    settled = stage(_settle(stage(_rows_before(in_order, pairs), "name-order")), "names-settled")
     # ``_lost`` = the group's plain name went to a file of the shorter name.
     lost = settled.filter("displaced").select("folder", F.col("child").alias("name"), F.lit(1).alias("_lost"))
     shifted = join_on(ranked, broadcast_if_small(lost), ["folder", "name"], "left").withColumn(
@@ -78,7 +76,7 @@ def _with_slots(ranked: DataFrame, in_order: DataFrame) -> DataFrame:
     simple = join_on(shifted, parents, ["folder", "name"], "left_anti").withColumn(
         "slot", F.col("_k") + F.col("_lost")
     )
-    # A blocked slot is skipped by the row that wanted it and by all later ones.
+    # A slot its child kept is skipped by the file that wanted it and by all later ones.
     crossed = join_on(shifted, parents, ["folder", "name"], "left_semi")
     skips = settled.filter("not displaced").select(
         "folder", F.col("parent").alias("name"), F.col("wanted_by").alias("_k"), F.lit(1).alias("_skip"), "k"
@@ -100,26 +98,31 @@ def _numbered_pairs(in_order: DataFrame) -> DataFrame:
     ``start`` is the place of the child's first file in ``in_order``.
     """
     name = F.col("name")
-    groups = (
+    # A single file without a number in its name takes no part.
+    groups = stage(
         in_order.groupBy("folder", "name")
         .agg(F.count("*").alias("_n"), F.min(POS).alias("start"))
         .withColumn("_stem", paths.stem(name))
         .withColumn("_suffix", paths.suffix(name))
         .withColumn("k", F.regexp_extract("_stem", _NUMBERED, 2).try_cast("long"))
+        .filter((F.col("_n") > 1) | F.col("k").isNotNull()),
+        "name-groups",
     )
+    unnumbered = ["folder", "_stem", "_suffix"]
     children = groups.filter(F.col("k").isNotNull()).select(
-        F.col("folder"),
+        "folder",
         F.regexp_extract("_stem", _NUMBERED, 1).alias("_stem"),
-        F.col("_suffix"),
+        "_suffix",
         F.col("name").alias("child"),
-        F.col("k"),
-        F.col("start"),
+        "k",
+        "start",
     )
-    # One file that keeps its own name never asks for a numbered one.
-    asking = groups.filter((F.col("_n") > 1) | F.col("k").isNotNull()).select(
-        "folder", "_stem", "_suffix", F.col("name").alias("parent")
+    # One name can have most of the children, so parents are matched with their distinct stems.
+    parents = groups.select(*unnumbered, F.col("name").alias("parent")).join(
+        children.select(*unnumbered).distinct(), unnumbered, "left_semi"
     )
-    return children.join(asking, ["folder", "_stem", "_suffix"]).drop("_stem", "_suffix")
+    matched = broadcast_if_small(stage(parents, "name-parents"))
+    return children.join(matched, unnumbered).drop("_stem", "_suffix")
 
 
 def _rows_before(in_order: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -137,64 +140,59 @@ def _rows_before(in_order: DataFrame, pairs: DataFrame) -> DataFrame:
     return counted.filter(F.col("_file") == 0).select("folder", "parent", "child", "k", "before")
 
 
-def _settle_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Decide the numbered names of one parent in order of k, from a known number of skips."""
-    pdf = pdf.sort_values("k")
-    skipped, lost = int(pdf["skipped"].iloc[0]), int(pdf["lost"].iloc[0])
-    displaced, wanted_by = [], []
-    for k, before in zip(pdf["k"], pdf["before"]):
-        row = k - lost - skipped  # the parent's file that asks for slot k
-        displaced.append(row < before)
-        wanted_by.append(row)
-        skipped += row >= before
-    return pdf.assign(displaced=displaced, wanted_by=wanted_by, skipped=skipped)
-
-
 def _settle(pairs: DataFrame) -> DataFrame:
     """Who gets each contested name: ``displaced`` = the parent's file came first.
 
-    Goes from short names to long ones (``a`` before ``a_1`` before ``a_1_1``), and through a
-    parent's numbered names in pieces, so no task holds more than a piece.
+    ``wanted_by`` is the parent's file that asks for slot k. That is k, less one if the parent's
+    first file lost its own name, less the slots below k that were skipped because a child had
+    them first. The child is displaced when that file comes before it.
+
+    Skipped slots follow from the outcome for smaller k. Each round bounds their number from both
+    sides and settles every pair for which the bounds agree, in all names at once. The smallest
+    open k of a name is always among them, and the bounds close in quickly.
     """
-    pairs = stage(
-        rank_rows(pairs, ["folder", "parent"], ["k"], "_j").withColumn(
-            "_chunk", F.floor((F.col("_j") - 1) / _CHUNK)
-        ),
-        "name-chunks",
+    keys = ["folder", "parent"]
+    parents = stage(pairs.select(*keys).distinct(), "name-parents")
+    rows = range_sorted(pairs, keys, ["k"]).withColumn("state", F.lit("open"))
+    while True:
+        bounded = _bound_rows(rows, broadcast_if_small(parents))
+        state = (
+            F.when(F.col("_latest") < F.col("before"), "displaced")
+            .when(F.col("_earliest") >= F.col("before"), "kept")
+            .otherwise("open")
+        )
+        rows = stage(bounded.withColumn("state", state).drop("_latest", "_earliest"), "names-settled")
+        if at_most(rows.filter(F.col("state") == "open"), 0):
+            break
+    return _bound_rows(rows, broadcast_if_small(parents)).select(
+        *keys,
+        "child",
+        "k",
+        (F.col("state") == "displaced").alias("displaced"),
+        F.col("_latest").alias("wanted_by"),
     )
-    chunks = pairs.agg(F.max("_chunk")).first()[0] + 1
-    columns = "folder string, parent string, child string, k long, before long, skipped long, lost int, displaced boolean, wanted_by long"
-    children = pairs.select("folder", F.col("child").alias("parent"))
-    state = stage(
-        join_on(pairs.select("folder", "parent").distinct(), children, ["folder", "parent"], "left_anti")
-        .withColumn("lost", F.lit(0))
-        .withColumn("skipped", F.lit(0).cast("long"))
+
+
+def _bound_rows(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """Add the ``_earliest`` and ``_latest`` file of the parent that can ask for slot k."""
+    keys = ["folder", "parent"]
+    kept = (F.col("state") == "kept").cast("long")
+    open_or_kept = (F.col("state") != "displaced").cast("long")
+    counted = totals_of_sorted(rows, keys, {"_sure": kept, "_possible": open_or_kept})
+    # Parents that are somebody's numbered form may have lost their own name.
+    own_name = join_on(
+        rows.select("folder", F.col("child").alias("parent"), F.col("state").alias("_own")),
+        parents,
+        keys,
+        "left_semi",
     )
-    settled = None
-    while not at_most(state, 0):
-        level = None
-        for c in range(chunks):
-            work = join_on(pairs.filter(F.col("_chunk") == c), state, ["folder", "parent"])
-            done = stage(
-                work.select("folder", "parent", "child", "k", "before", "skipped", "lost")
-                .groupBy("folder", "parent")
-                .applyInPandas(_settle_chunk, columns),
-                "names-settled",
-            )
-            level = done if level is None else level.unionByName(done)
-            if c + 1 < chunks:
-                carried = done.groupBy("folder", "parent").agg(F.max("skipped").alias("_carried"))
-                state = stage(
-                    join_on(state, carried, ["folder", "parent"], "left")
-                    .withColumn("skipped", F.coalesce("_carried", "skipped"))
-                    .drop("_carried")
-                )
-        settled = level if settled is None else settled.unionByName(level)
-        next_level = level.select(
-            "folder", F.col("child").alias("parent"), F.col("displaced").cast("int").alias("lost")
-        )
-        state = stage(
-            join_on(next_level, pairs.select("folder", "parent").distinct(), ["folder", "parent"], "left_semi")
-            .withColumn("skipped", F.lit(0).cast("long"))
-        )
-    return settled.select("folder", "parent", "child", "k", "displaced", "wanted_by")
+    joined = join_on(counted, broadcast_if_small(own_name), keys, "left")
+    own = F.coalesce(F.col("_own"), F.lit("kept"))
+    surely_lost = (own == "displaced").cast("long")
+    possibly_lost = (own != "kept").cast("long")
+    return joined.withColumns(
+        {
+            "_earliest": F.col("k") - possibly_lost - (F.col("_possible") - open_or_kept),
+            "_latest": F.col("k") - surely_lost - (F.col("_sure") - kept),
+        }
+    ).drop("_sure", "_possible", "_own")

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from assetflow.shared import MAX_BROADCAST_ROWS, at_most, join_on, stage
 
 POS = "_pos"  # increases through the whole range-sorted table
-_PART = "_part"  # partition a row was sorted in
+PART = "_part"  # partition a row was sorted in
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
 def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Write ``df`` sorted by keys and order; adds ``POS``, which increases in that order."""
+    """Write ``df`` sorted by keys and order; adds ``POS``, increasing in that order, and ``PART``."""
     cols = [*keys, *order]
     ranged = (
         df.repartitionByRange(*cols)
@@ -29,12 +29,12 @@ def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
         .withColumn(POS, F.monotonically_increasing_id())
     )
     # Written, so that counting and numbering see the same partitions.
-    return stage(ranged, "ranked").withColumn(_PART, F.shiftright(POS, _POS_BITS))
+    return stage(ranged, "ranked").withColumn(PART, F.shiftright(POS, _POS_BITS))
 
 
 def _earlier(keys: Sequence[str]):
     return (
-        Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     )
 
 
@@ -45,15 +45,15 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     needed before calling. For keys that are as many as the rows, use ``running_totals``.
     """
     rows = range_sorted(df, keys, order)
-    runs = rows.groupBy(_PART, *keys).agg(F.min(POS).alias("_first"), F.count("*").alias("_n"))
+    runs = rows.groupBy(PART, *keys).agg(F.min(POS).alias("_first"), F.count("*").alias("_n"))
     if not at_most(runs, MAX_BROADCAST_ROWS):
-        return totals_of_sorted(rows, keys, {out: F.lit(1)})
+        return totals_of_sorted(rows, keys, {out: F.lit(1)}).drop(POS, PART)
     earlier_rows = F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0))
-    base = runs.select(_PART, *keys, (earlier_rows - F.col("_first") + 1).alias("_base"))
+    base = runs.select(PART, *keys, (earlier_rows - F.col("_first") + 1).alias("_base"))
     return (
-        join_on(rows, F.broadcast(base), [_PART, *keys])
+        join_on(rows, F.broadcast(base), [PART, *keys])
         .withColumn(out, F.col(POS) + F.col("_base"))
-        .drop(POS, _PART, "_base")
+        .drop(POS, PART, "_base")
     )
 
 
@@ -64,42 +64,42 @@ def running_totals(
 
     Works at any number and size of keys. Runs when called, like ``rank_rows``.
     """
-    return totals_of_sorted(range_sorted(df, keys, order), keys, totals)
+    return totals_of_sorted(range_sorted(df, keys, order), keys, totals).drop(POS, PART)
 
 
 def totals_of_sorted(
     rows: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
 ) -> DataFrame:
-    """``running_totals`` of what ``range_sorted`` returned."""
+    """``running_totals`` of what ``range_sorted`` returned; keeps ``POS`` and ``PART``."""
     so_far = (
-        Window.partitionBy(_PART, *keys)
+        Window.partitionBy(PART, *keys)
         .orderBy(POS)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     sums = [F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()]
     # Only a partition's first and last key can continue elsewhere.
     if keys:
-        ends = rows.groupBy(_PART).agg(
+        ends = rows.groupBy(PART).agg(
             F.min_by(F.struct(*keys), POS).alias("_lo"), F.max_by(F.struct(*keys), POS).alias("_hi")
         )
         split_keys = ends.select(F.explode(F.array("_lo", "_hi")).alias("_k")).select("_k.*").distinct()
         runs = join_on(rows, F.broadcast(split_keys), keys, "left_semi")
     else:
         runs = rows
-    runs = runs.groupBy(_PART, *keys).agg(*sums)
+    runs = runs.groupBy(PART, *keys).agg(*sums)
     offsets = runs.select(
-        _PART,
+        PART,
         *keys,
         *[F.sum(f"_sum_{name}").over(_earlier(keys)).alias(f"_off_{name}") for name in totals],
     )
     local = rows.withColumns({name: F.sum(value).over(so_far) for name, value in totals.items()})
     return (
-        join_on(local, F.broadcast(offsets), [_PART, *keys], "left")
+        join_on(local, F.broadcast(offsets), [PART, *keys], "left")
         .withColumns(
             {
                 name: F.col(name) + F.coalesce(F.col(f"_off_{name}"), F.lit(0))
                 for name in totals
             }
         )
-        .drop(POS, _PART, *[f"_off_{name}" for name in totals])
+        .drop(*[f"_off_{name}" for name in totals])
     )

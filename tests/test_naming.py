@@ -59,10 +59,8 @@ def random_files(rng, n):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_against_copying_in_turn(spark, seed, monkeypatch):
+def test_against_copying_in_turn(spark, seed):
     rng = random.Random(seed)
-    if seed % 2:
-        monkeypatch.setattr(naming, "_CHUNK", 2)  # several rounds per name
     files = random_files(rng, 10 + 12 * seed)
     existing = [("text", n) for n in ("a.txt", "a_2.txt", "b_1.txt")] if seed % 3 == 0 else []
     assert planned(spark, files, existing) == copied_in_turn(files, existing)

@@ -57,7 +57,7 @@ def test_hot_key_spans_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge the small partitions
     try:
         sorted_rows = ranking.range_sorted(df, ["key"], ["pos"])
-        assert sorted_rows.select(ranking._PART).distinct().count() > 4
+        assert sorted_rows.select(ranking.PART).distinct().count() > 4
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
 
