@@ -64,8 +64,18 @@ def progress_marks(
 
 
 def first_n(files: DataFrame, groups: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` files of each group, with their position ``rn``."""
-    if n <= _NATIVE_TOP_N:
-        by_order = Window.partitionBy(*groups).orderBy(*order)
-        return files.withColumn("rn", F.row_number().over(by_order).cast("long")).filter(F.col("rn") <= n)
-    return rank_rows(files, groups, order, "rn").filter(F.col("rn") <= n)
+    """First ``n`` files of each group, with their position ``rn``.
+
+    For small ``n``, every task that reads files keeps only the first ``n`` of each group, parts
+    of a group keep theirs, and what is left is ranked.
+    """
+    if n > _NATIVE_TOP_N:
+        return rank_rows(files, groups, order, "rn").filter(F.col("rn") <= n)
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def firsts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("rn", position.cast("long")).filter(F.col("rn") <= n)
+
+    in_parts = files.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    return firsts(firsts(in_parts, [*groups, "_part"]).drop("_part"), groups)

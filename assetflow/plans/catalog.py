@@ -84,7 +84,9 @@ def _with_views(sql: str, names: tuple[str, ...]) -> str:
     for name in names:
         add(name)
     ctes = ", ".join(f"{n} as ({body})" for n, body in _SQL_VIEWS.items() if n in wanted)
-    return f"with {ctes} {sql}" if ctes else sql
+    if not ctes:
+        return sql
+    return f"with {ctes}, {sql[5:]}" if sql.startswith("with ") else f"with {ctes} {sql}"
 
 
 def query(name: str, sql: str | None = None, using: tuple[str, ...] = ()) -> Callable[[Query], Query]:

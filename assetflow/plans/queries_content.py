@@ -431,11 +431,29 @@ def signal_pad(spark, sf):
     )
 
 
-@query("signal_spectrum")
+# Samples of the first channel, frames of 16 every 4 samples around them, ends mirrored.
+@query(
+    "signal_spectrum",
+    """with ch as (select clip_id, list_filter(samples, lambda x, i: (i - 1) % channels = 0) as s from signals),
+         clip as (select clip_id, s, len(s) as n from ch where len(s) > 8),
+         frame as (select clip_id, s, n, unnest(range(0, n + 1, 4)) as start from clip),
+         point as (select clip_id, start, j,
+                     s[1 + case when start + j < 8 then 8 - start - j
+                                when start + j - 8 >= n then 2 * (n - 1) - (start + j - 8)
+                                else start + j - 8 end]::double as x
+                   from (select *, unnest(range(16)) as j from frame)),
+         bins as (select unnest(range(9)) as bin),
+         wave as (select clip_id, start, bin, sum(x * cos(2 * pi() * bin * j / 16)) as re,
+                         sum(x * sin(2 * pi() * bin * j / 16)) as im
+                  from point cross join bins group by clip_id, start, bin)
+       select clip_id, bin, round(avg(re * re + im * im), 6) as power from wave group by clip_id, bin""",
+    ("signals",),
+)
 def signal_spectrum(spark, sf):
     # Clips are short here, so the window is too.
     power = signal_functions.spectrum(F.element_at("waveform", 1), 16)
-    return views.signals(spark, sf).select("clip_id", power.alias("power"))
+    bins = views.signals(spark, sf).select("clip_id", F.posexplode(power).alias("bin", "power"))
+    return bins.withColumn("power", F.round("power", 6))
 
 
 # ------------------------------------------------------------------ by type

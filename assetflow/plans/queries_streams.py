@@ -65,7 +65,11 @@ def stream_sessions(spark, sf):
     )
 
 
-@query("stream_dedup")
+# All rows arrive together, so no delivery is older than the delay.
+@query(
+    "stream_dedup",
+    "select distinct concat('/in/u', user_id, '/', event_type, '.json') as path from events",
+)
 def stream_dedup(spark, sf):
     # An event stands for the delivery of a user's file of that type.
     events = _event_time(spark, jobs.table_arrivals(spark, sf, "events"))

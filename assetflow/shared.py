@@ -32,10 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/assetflow/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/assetflow/{app}/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; results that were not written yet need it."""
+    file_system, hadoop_path = _file_system(spark, _own_dir(spark))
+    file_system.delete(hadoop_path, True)
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -1,4 +1,6 @@
+import io
 import os
+import wave
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from assetflow.operators import organize
 from assetflow.operators.inventory import classify
 from assetflow.plans.jobs import organize_collection
-from assetflow.sources import files, reports, sheets
+from assetflow.sources import files, reports, sheets, waveforms
 
 
 @pytest.fixture
@@ -148,3 +150,31 @@ def test_failure_log_grows_by_run(spark, tmp_path):
         reports.append_failure_log(rows, log, run)
     got = sorted((r.run_id, r.path) for r in reports.read_failure_log(spark, log).collect())
     assert got == [("1", "a"), ("1", "b"), ("2", "a"), ("2", "b")]
+
+
+def wav_bytes(samples, width, channels):
+    """PCM file of integer samples, interleaved."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as clip:
+        clip.setnchannels(channels)
+        clip.setsampwidth(width)
+        clip.setframerate(8000)
+        offset = 128 if width == 1 else 0
+        clip.writeframes(b"".join((s + offset).to_bytes(width, "little", signed=width > 1) for s in samples))
+    return out.getvalue()
+
+
+def test_read_waveforms(spark, tmp_path):
+    for width in (1, 2, 3, 4):
+        scale = 2 ** (8 * width - 1)
+        samples = [0, scale // 2, -scale, -scale // 4, scale // 8, 0]
+        (tmp_path / f"w{width}.wav").write_bytes(wav_bytes(samples, width, 2))
+    (tmp_path / "broken.WAV").write_bytes(b"RIFFnothing")
+    (tmp_path / "other.txt").write_bytes(b"text")
+    got = {r.path.split("/")[-1]: r for r in waveforms.read_waveforms(spark, str(tmp_path)).collect()}
+    broken = got.pop("broken.WAV")
+    assert broken.waveform is None and broken.error
+    assert sorted(got) == ["w1.wav", "w2.wav", "w3.wav", "w4.wav"]
+    for row in got.values():
+        assert (row.sample_rate, row.error) == (8000, None)
+        assert row.waveform == [[0.0, -1.0, 0.125], [0.5, -0.25, 0.0]]
