@@ -43,14 +43,28 @@ def _canonical_json(text: pd.Series) -> pd.Series:
     return text.map(_canonical)
 
 
+@F.pandas_udf(T.BooleanType())
+def _parses(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: _canonical(t) is not None)
+
+
+def _maybe_json(text: Column) -> Column:
+    """Null for texts that cannot be JSON by their first character; Python need not see those."""
+    return F.when(text.rlike(_JSON_START), text)
+
+
 def canonical_json(text: Column) -> Column:
     """JSON re-written in one form, or null when ``text`` is not one JSON document.
 
     Spark's own parsers accept trailing text and refuse repeated keys; here the last value of
-    a repeated key wins, and NaN and Infinity become null. Texts that cannot be JSON by their
-    first character are not sent to Python.
+    a repeated key wins, and NaN and Infinity become null.
     """
-    return _canonical_json(F.when(text.rlike(_JSON_START), text))
+    return _canonical_json(_maybe_json(text))
+
+
+def is_json(text: Column) -> Column:
+    """True when ``text`` is one JSON document by the same rules."""
+    return _parses(_maybe_json(text))
 
 
 def json_variant(canonical: Column) -> Column:

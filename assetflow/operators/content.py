@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetflow.constants import BATCH_SIZE, MAX_SAMPLES, NEEDLE
 from assetflow.functions import signals
-from assetflow.functions.text import canonical_json
+from assetflow.functions.text import canonical_json, is_json
 from assetflow.operators.batching import batch_assign
 from assetflow.shared import broadcast_if_small, stage
 
@@ -69,7 +69,7 @@ def parse_json(docs: DataFrame) -> DataFrame:
 def json_validity(docs: DataFrame, *keys: str) -> DataFrame:
     """Valid and invalid documents per key."""
     return (
-        docs.withColumn("_valid", canonical_json(F.col("text")).isNotNull())
+        docs.withColumn("_valid", is_json(F.col("text")))
         .groupBy(*keys)
         .agg(
             F.count_if("_valid").alias("valid_docs"),

@@ -17,18 +17,23 @@ from assetflow.shared import spread, stage
 _COPIED = "src string, dst string, size_bytes long, ok boolean, error string"
 
 
-def organize_plan(files: DataFrame, done: DataFrame | None = None, root: str = "") -> DataFrame:
+def organize_plan(
+    files: DataFrame,
+    done: DataFrame | None = None,
+    existing: DataFrame | None = None,
+    root: str = "",
+) -> DataFrame:
     """Where each supported file goes: path, asset_id, folder, name, slot, dest_name, dest.
 
     ``files`` comes from ``classify`` plus an ``asset_id``. ``done`` is an earlier plan into the
     same place: its sources are not planned again and its names are taken, so planning the same
-    files twice gives an empty second plan.
+    files twice gives an empty second plan. ``existing`` has further (folder, name) pairs in use.
     """
     files = files.filter(F.col("folder").isNotNull()).select("path", "asset_id", "folder", "name")
-    existing = None
     if done is not None:
         files = files.join(done.select("path", "asset_id"), ["path", "asset_id"], "left_anti")
-        existing = done.select("folder", F.col("dest_name").alias("name"))
+        planned = done.select("folder", F.col("dest_name").alias("name"))
+        existing = planned if existing is None else planned.union(existing.select("folder", "name"))
     return unique_names(files, existing).withColumn(
         "dest", F.concat_ws("/", F.lit(root), "folder", "dest_name")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.functions import signals
-from assetflow.functions.text import canonical_json
+from assetflow.functions.text import is_json
 from assetflow.operators import content, video
 
 Processor = Callable[[DataFrame], DataFrame]
@@ -38,9 +38,7 @@ def process_text(texts: DataFrame) -> DataFrame:
 
 def process_json(docs: DataFrame) -> DataFrame:
     """Validity on top of the text measures."""
-    return content.text_measures(
-        docs.withColumn("valid", canonical_json(F.col("text")).isNotNull())
-    )
+    return content.text_measures(docs.withColumn("valid", is_json(F.col("text"))))
 
 
 def process_sheets(sheets: DataFrame) -> DataFrame:

@@ -227,9 +227,9 @@ def isolate_bad(spark, sf):
 
 @query(
     "append_failure_log",
-    f"""select run_id, batch_id, path, asset_id
+    f"""select unnest(['first', 'second']) as run_id, batch_id, path, asset_id
         from (select *, count(*) filter (codec is null) over (partition by batch_id) as bad
-              from ({_SPOILED_SQL.format(size=8)})), (values ('first'), ('second')) r(run_id)
+              from ({_SPOILED_SQL.format(size=8)}))
         where bad > 0""",
     ("files", "video_probe"),
 )
@@ -442,10 +442,9 @@ def signal_pad(spark, sf):
                                 when start + j - 8 >= n then 2 * (n - 1) - (start + j - 8)
                                 else start + j - 8 end]::double as x
                    from (select *, unnest(range(16)) as j from frame)),
-         bins as (select unnest(range(9)) as bin),
          wave as (select clip_id, start, bin, sum(x * cos(2 * pi() * bin * j / 16)) as re,
                          sum(x * sin(2 * pi() * bin * j / 16)) as im
-                  from point cross join bins group by clip_id, start, bin)
+                  from (select *, unnest(range(9)) as bin from point) group by clip_id, start, bin)
        select clip_id, bin, round(avg(re * re + im * im), 6) as power from wave group by clip_id, bin""",
     ("signals",),
 )

@@ -94,8 +94,10 @@ def test_decode_text(spark):
 def test_json_validity_and_values(spark):
     docs = ['{"k":1,"k":2}', "NaN", "[1,2]", "3", "{bad", "", "﻿{}", '{"a":1} x', None, ' \n{"k": "é"}', "null", "[" * 5000]
     df = spark.createDataFrame([(d,) for d in docs], "t string").withColumn("c", text.canonical_json(F.col("t")))
+    flags = [r[0] for r in df.select(text.is_json(F.col("t"))).collect()]
     got = df.select("c", F.try_variant_get(text.json_variant(F.col("c")), "$.k", "string").alias("k")).collect()
     assert [r.c is not None for r in got] == [True, True, True, True, False, False, False, False, False, True, True, False]
+    assert flags == [r.c is not None for r in got]
     assert [got[0].k, got[9].k] == ["2", "é"]
     assert json.loads(got[2].c) == [1, 2]
 

@@ -61,8 +61,7 @@ def test_organize_copy(spark, tree, tmp_path):
     out = tmp_path / "out"
     copied = organize_collection(spark, f"file:{tree}", str(out)).collect()
     assert all(r.ok for r in copied) and len(copied) == 6
-    stored = {str(p.relative_to(out)): p.read_bytes() for p in out.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
-    assert stored == {
+    assert stored_files(out) == {
         "text/a.txt": b"one\r\ntwo",
         "text/a_1.txt": b"bad \xff byte",
         "videos/A.MP4": b"0" * 50,
@@ -73,6 +72,30 @@ def test_organize_copy(spark, tree, tmp_path):
     assert (out / "text/a_1.txt").stat().st_mtime == 1_600_000_000
 
 
+def stored_files(out):
+    return {
+        str(p.relative_to(out)): p.read_bytes()
+        for p in out.rglob("*")
+        if p.is_file() and not p.name.startswith((".", "_")) and p.parent.name != "_planned"
+    }
+
+
+def test_organize_again(spark, tree, tmp_path):
+    out = tmp_path / "out"
+    (out / "text").mkdir(parents=True)
+    (out / "text/a.txt").write_bytes(b"was here")
+    assert len(organize_collection(spark, str(tree), str(out)).collect()) == 6
+    first = stored_files(out)
+    assert (first["text/a.txt"], first["text/a_1.txt"], first["text/a_2.txt"]) == (b"was here", b"one\r\ntwo", b"bad \xff byte")
+    assert organize_collection(spark, str(tree), str(out)).collect() == []
+    # One copy is lost, and a file arrives that comes before all others.
+    (out / "text/a_2.txt").unlink()
+    (tree / "a").mkdir()
+    (tree / "a/a.txt").write_bytes(b"new")
+    assert len(organize_collection(spark, str(tree), str(out)).collect()) == 2
+    assert stored_files(out) == first | {"text/a_3.txt": b"new"}
+
+
 def test_copy_failure_stays_with_its_file(spark, tree, tmp_path):
     plan = spark.createDataFrame(
         [(f"file:{tree}/b.mp4", f"{tmp_path}/o/b.mp4"), (f"file:{tree}/gone.mp4", f"{tmp_path}/o/gone.mp4")],
