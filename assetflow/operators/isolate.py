@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetflow.shared import spread
+from assetflow.shared import spread, stage
 
 BatchFunction = Callable[[pd.DataFrame], object]
 
@@ -42,6 +43,21 @@ def batch_apply_timed(batches: DataFrame, keys: Sequence[str], fn: BatchFunction
     )
 
 
+def time_engines(batches: DataFrame, engines: dict[str, BatchFunction]) -> DataFrame:
+    """Run every engine's function on every batch: the ``timings`` that reports are made from.
+
+    ``batches`` needs file_type and batch_id. Runs when called and stores what was measured, so
+    reports on it do not measure again.
+    """
+    keys = ["file_type", "batch_id"]
+    runs = [
+        batch_apply_timed(batches, keys, fn).withColumn("engine", F.lit(engine))
+        for engine, fn in engines.items()
+    ]
+    timings = reduce(DataFrame.unionByName, runs).withColumn("failed", F.col("error").isNotNull())
+    return stage(timings, "timings")
+
+
 def isolate_bad(
     batches: DataFrame, keys: Sequence[str], id_columns: Sequence[str], fn: BatchFunction
 ) -> DataFrame:

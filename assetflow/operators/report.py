@@ -35,18 +35,25 @@ _SUMS = (
 
 
 def bench_by_type(timings: DataFrame) -> DataFrame:
-    """Files, and per engine the time and files of successful batches, failed and all batches."""
-    totals = [F.sum("n_files").alias("num_files")]
+    """Files, and per engine the time and files of successful batches, failed and all batches.
+
+    A batch counts its files once, however many engines took it.
+    """
+    parts = {}
     for engine in ("baseline", "accel"):
         mine = F.col("engine") == engine
         good = mine & ~F.col("failed")
-        totals += [
-            F.coalesce(F.sum(F.when(good, F.col("elapsed_sec"))), F.lit(0.0)).alias(f"{engine}_sec"),
-            F.coalesce(F.sum(F.when(good, F.col("n_files"))), F.lit(0)).alias(f"{engine}_ok_files"),
-            F.count_if(mine & F.col("failed")).alias(f"{engine}_errors"),
-            F.count_if(mine).alias(f"{engine}_batches"),
-        ]
-    return timings.groupBy("file_type").agg(*totals)
+        parts[f"{engine}_sec"] = F.sum(F.when(good, F.col("elapsed_sec")))
+        parts[f"{engine}_ok_files"] = F.sum(F.when(good, F.col("n_files")))
+        parts[f"{engine}_errors"] = F.count_if(mine & F.col("failed"))
+        parts[f"{engine}_batches"] = F.count_if(mine)
+    per_batch = timings.groupBy("file_type", "batch_id").agg(
+        F.max("n_files").alias("num_files"), *[part.alias(name) for name, part in parts.items()]
+    )
+    return per_batch.groupBy("file_type").agg(
+        F.sum("num_files").alias("num_files"),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in parts],
+    )
 
 
 def zero_fill(summary: DataFrame, types: DataFrame) -> DataFrame:

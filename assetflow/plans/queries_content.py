@@ -10,7 +10,7 @@ from assetflow.constants import MAX_SAMPLES
 from assetflow.functions import signals as signal_functions
 from assetflow.functions import video as video_functions
 from assetflow.functions.text import decode_text
-from assetflow.operators import batching, content, inventory, isolate, video
+from assetflow.operators import batching, content, inventory, isolate, report, video
 from assetflow.plans.catalog import query
 from assetflow.plans.processors import processor_for
 from assetflow.shared import broadcast_if_small, new_path, stage
@@ -213,6 +213,21 @@ def batch_apply_timed(spark, sf):
     return timed.select("batch_id", "n_files", F.col("elapsed_sec").isNotNull().alias("timed"), "error")
 
 
+@query(
+    "time_engines",
+    f"""select 'mp4' as file_type, cast(sum(n) as bigint) as num_files, count(*) as baseline_batches,
+               count(*) as accel_batches, 0 as baseline_errors, count(*) filter (n > good) as accel_errors,
+               cast(sum(n) as bigint) as baseline_ok_files,
+               cast(coalesce(sum(n) filter (n = good), 0) as bigint) as accel_ok_files
+        from (select batch_id, count(*) as n, count(codec) as good from ({_SPOILED_SQL.format(size=8)}) group by batch_id)""",
+    ("files", "video_probe"),
+)
+def time_engines(spark, sf):
+    batches = _video_batches(spark, sf, 8).withColumn("file_type", F.lit("mp4"))
+    timings = isolate.time_engines(batches, {"baseline": lambda batch: len(batch), "accel": _open_all})
+    return report.bench_by_type(timings).drop("baseline_sec", "accel_sec")
+
+
 @query(
     "isolate_bad",
     """select v.video_id as asset_id, f.path, v.codec is not null as ok,

@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from assetflow.operators import batching, content, inventory, isolate
+from assetflow.operators import batching, content, inventory, isolate, report
 from assetflow.plans.processors import processor_for
 
 
@@ -53,6 +55,22 @@ def test_isolation_loses_nothing(spark):
     assert timed[1].elapsed_sec >= 0 and timed[1].error is None
 
 
+def test_report_of_measured_functions(spark):
+    def slow(pdf):
+        time.sleep(0.02)
+
+    def fails_on_the_last(pdf):
+        if (pdf["batch_id"] == 29).any():
+            raise RuntimeError("device lost")
+
+    batches = spark.range(300).selectExpr("id", "id div 10 as batch_id", "'wav' as file_type")
+    timings = isolate.time_engines(batches, {"baseline": slow, "accel": fails_on_the_last})
+    (row,) = report.benchmark_report(timings).collect()
+    assert (row.num_files, row.baseline_errors, row.accel_errors, row.data_quality) == (300, 0, 1, "OK")
+    assert row.baseline_sec >= 30 * 0.02 and row.speedup_ratio == row.baseline_sec / row.accel_sec
+    assert [r.error for r in timings.filter("failed").collect()] == ["device lost"]
+
+
 def test_split_covers_the_input(spark):
     df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, good boolean")
     good, bad = inventory.split(df, F.col("good"))

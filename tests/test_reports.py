@@ -41,7 +41,7 @@ def test_report_with_types_nobody_timed(spark):
         [
             (1, "txt", "baseline", 10, 2.0, False),
             (1, "txt", "accel", 10, 1.0, False),
-            (2, "txt", "accel", 10, None, True),
+            (2, "txt", "accel", 20, None, True),
         ],
         TIMINGS,
     )
