@@ -18,6 +18,13 @@ def _decode_dropping(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
+def _unix_lines(text: Column) -> Column:
+    """Line ends as ``\\n``; texts without a carriage return are passed on untouched."""
+    cr, lf = F.lit("\r"), F.lit("\n")
+    converted = F.replace(F.replace(text, F.lit("\r\n"), lf), cr, lf)
+    return F.when(F.contains(text, cr), converted).otherwise(text)
+
+
 def decode_text(content: Column) -> Column:
     """Bytes of a whole file as text: invalid UTF-8 dropped, line ends as ``\\n``.
 
@@ -26,7 +33,7 @@ def decode_text(content: Column) -> Column:
     text = content.cast("string")
     valid = F.is_valid_utf8(text)
     repaired = _decode_dropping(F.when(~valid, content))
-    return F.regexp_replace(F.when(valid, text).otherwise(repaired), r"\r\n?", "\n")
+    return _unix_lines(F.when(valid, text).otherwise(repaired))
 
 
 def _canonical(text: str | None) -> str | None:
