@@ -1,4 +1,8 @@
-"""Column expressions on waveforms: one array of samples per channel."""
+"""Column expressions on waveforms: one array of samples per channel.
+
+The single statistics are built-in expressions, which suit short arrays. Spark evaluates those
+sample by sample, so for long clips ``levels`` gives all of them from one pass in numpy.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +53,45 @@ def rms(waveform: Column, cap: int = MAX_SAMPLES) -> Column:
     return F.sqrt(F.try_divide(_total(samples, lambda x: x * x), F.size(samples)))
 
 
+def channel_levels(
+    channels: list[np.ndarray], cap: int = MAX_SAMPLES
+) -> tuple[float | None, float, float | None]:
+    """Mean absolute sample, norm and root mean square of one clip."""
+    total = energy = 0.0
+    capped = 0
+    for channel in channels:
+        samples = channel.astype("f8")
+        total += float(np.abs(samples).sum())
+        first = samples[:cap]
+        energy += float(first @ first)
+        capped += len(first)
+    if not capped:
+        return None, 0.0, None
+    n = sum(len(channel) for channel in channels)
+    return total / n, energy**0.5, (energy / capped) ** 0.5
+
+
+LEVELS = T.StructType([T.StructField(name, T.DoubleType()) for name in ("mean_abs", "l2", "rms")])
+
+
+def levels(waveform: Column, cap: int = MAX_SAMPLES) -> Column:
+    """``mean_abs``, ``l2_norm`` and ``rms`` of an ``array<array<float>>`` as one struct."""
+
+    @F.arrow_udf(LEVELS)
+    def compute(clips: pa.Array) -> pa.Array:
+        outer, channels = clips.offsets.to_numpy(), clips.values
+        inner = channels.offsets.to_numpy()
+        samples = pc.fill_null(channels.values, 0.0).to_numpy(zero_copy_only=False)
+        rows = [
+            channel_levels([samples[inner[c] : inner[c + 1]] for c in range(*outer[i : i + 2])], cap)
+            for i in range(len(clips))
+        ]
+        fields = [pa.array([row[f] for row in rows], pa.float64()) for f in range(3)]
+        return pa.StructArray.from_arrays(fields, LEVELS.names)
+
+    return F.when(waveform.isNotNull(), compute(waveform))
+
+
 def pad(waveform: Column, channels: Column, length: Column) -> Column:
     """First ``channels`` channels, each cut or zero-filled to ``length`` samples."""
     zero = F.lit(0.0).cast("float")

@@ -201,3 +201,8 @@ def test_read_waveforms(spark, tmp_path):
     for row in got.values():
         assert (row.sample_rate, row.error) == (8000, None)
         assert row.waveform == [[0.0, -1.0, 0.125], [0.5, -0.25, 0.0]]
+    measured = {r.path.split("/")[-1]: r for r in waveforms.measure_waveforms(spark, str(tmp_path), 2).collect()}
+    assert measured.pop("broken.WAV").error == broken.error
+    for row in measured.values():
+        energy = 1 + 0.25 + 0.0625
+        assert (row.mean_abs, row.l2, row.rms) == pytest.approx((1.875 / 6, energy**0.5, (energy / 4) ** 0.5))
