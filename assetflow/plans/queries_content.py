@@ -216,7 +216,7 @@ def batch_apply_timed(spark, sf):
 @query(
     "time_engines",
     f"""select 'mp4' as file_type, cast(sum(n) as bigint) as num_files, count(*) as baseline_batches,
-               count(*) as accel_batches, 0 as baseline_errors, count(*) filter (n > good) as accel_errors,
+               count(*) as accel_batches, cast(0 as bigint) as baseline_errors, count(*) filter (n > good) as accel_errors,
                cast(sum(n) as bigint) as baseline_ok_files,
                cast(coalesce(sum(n) filter (n = good), 0) as bigint) as accel_ok_files
         from (select batch_id, count(*) as n, count(codec) as good from ({_SPOILED_SQL.format(size=8)}) group by batch_id)""",
@@ -414,8 +414,8 @@ def signal_rms(spark, sf):
 
 
 _SHAPE_SQL = """
-    select batch_id, count(*) as num_clips, min(channels) as min_channels,
-           least(max((len(samples) + channels - 1) // channels), 32) as max_length
+    select batch_id, count(*) as num_clips, cast(min(channels) as integer) as min_channels,
+           cast(least(max((len(samples) + channels - 1) // channels), 32) as integer) as max_length
     from signals group by batch_id
 """
 
@@ -460,7 +460,7 @@ def signal_pad(spark, sf):
          wave as (select clip_id, start, bin, sum(x * cos(2 * pi() * bin * j / 16)) as re,
                          sum(x * sin(2 * pi() * bin * j / 16)) as im
                   from (select *, unnest(range(9)) as bin from point) group by clip_id, start, bin)
-       select clip_id, bin, round(avg(re * re + im * im), 6) as power from wave group by clip_id, bin""",
+       select clip_id, cast(bin as integer) as bin, round(avg(re * re + im * im), 6) as power from wave group by clip_id, bin""",
     ("signals",),
 )
 def signal_spectrum(spark, sf):

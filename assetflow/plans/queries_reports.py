@@ -197,7 +197,7 @@ def speedup_curve(spark, sf):
 
 @query(
     "join_checkpoint",
-    f"""select file_type, engine, n as checkpoint, count(*) as units,
+    f"""select file_type, engine, cast(n as bigint) as checkpoint, count(*) as units,
                round(coalesce(sum(elapsed_sec) filter (not failed), 0), 6) as sec
         from ({_RANKED_SQL}) join ({_CHECKPOINTS_SQL} as n) on rn <= n group by file_type, engine, n""",
     ("timings",),
