@@ -91,14 +91,16 @@ def first_deliveries(files: DataFrame, keys: list[str], delay: str = "1 hour") -
     return files.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
     """Process everything that has arrived; returns the result as a table.
 
-    Append results go to Parquet in the shared folder. ``complete`` is for results of a few rows
-    (a row per type), which are kept in memory. Open windows are held in RocksDB, not on the heap.
+    Append results go to Parquet below ``path``, with the stream's progress: running again with
+    the same path takes only what arrived since. Without a path, a new one in the shared folder
+    is used. ``complete`` is for results of a few rows (a row per type), which are kept in memory.
+    Open windows are held in RocksDB, not on the heap.
     """
     spark = stream.sparkSession
-    out = new_path(spark, "stream")
+    out = path or new_path(spark, "stream")
     writer = (
         stream.writeStream.outputMode(mode)
         .trigger(availableNow=True)

@@ -58,3 +58,15 @@ def test_sessions(spark, tmp_path):
     )
     got = jobs.run_available(jobs.sessions(stream, "path")).orderBy("session_start").collect()
     assert [(r.session_start, r.session_end, r.num_events) for r in got] == [(at(0), at(220), 2), (at(300), at(420), 1)]
+
+
+def test_a_later_run_takes_only_new_files(spark, tmp_path):
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    landing.mkdir()
+    for name in ("a.txt", "b.wav"):
+        (landing / name).write_bytes(b"1")
+    for arrived in ({"a.txt", "b.wav"}, {"a.txt", "b.wav", "c.json"}):
+        files = jobs.file_arrivals(spark, str(landing)).select("path")
+        got = [r.path.split("/")[-1] for r in jobs.run_available(files, path=out).collect()]
+        assert sorted(got) == sorted(arrived)
+        (landing / "c.json").write_bytes(b"1")
