@@ -67,6 +67,16 @@ def running_totals(
     return totals_of_sorted(range_sorted(df, keys, order), keys, totals).drop(POS, PART)
 
 
+def _of_split_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of keys that may span partitions: a partition's first and last key, two for each."""
+    if not keys:
+        return rows
+    ends = rows.groupBy(PART).agg(F.min(POS).alias("_lo"), F.max(POS).alias("_hi"))
+    places = ends.select(F.explode(F.array("_lo", "_hi")).alias(POS))
+    split_keys = rows.join(F.broadcast(places), POS, "left_semi").select(*keys).distinct()
+    return join_on(rows, F.broadcast(split_keys), keys, "left_semi")
+
+
 def totals_of_sorted(
     rows: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]
 ) -> DataFrame:
@@ -77,16 +87,7 @@ def totals_of_sorted(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     sums = [F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()]
-    # Only a partition's first and last key can continue elsewhere.
-    if keys:
-        ends = rows.groupBy(PART).agg(
-            F.min_by(F.struct(*keys), POS).alias("_lo"), F.max_by(F.struct(*keys), POS).alias("_hi")
-        )
-        split_keys = ends.select(F.explode(F.array("_lo", "_hi")).alias("_k")).select("_k.*").distinct()
-        runs = join_on(rows, F.broadcast(split_keys), keys, "left_semi")
-    else:
-        runs = rows
-    runs = runs.groupBy(PART, *keys).agg(*sums)
+    runs = _of_split_keys(rows, keys).groupBy(PART, *keys).agg(*sums)
     offsets = runs.select(
         PART,
         *keys,
