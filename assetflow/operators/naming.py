@@ -62,8 +62,8 @@ def unique_names(files: DataFrame, existing: DataFrame | None = None) -> DataFra
 
 
 def _with_slots(ranked: DataFrame, in_order: DataFrame) -> DataFrame:
-    pairs = stage(_numbered_pairs(in_order), "name-pairs")
-    if at_most(pairs, 0):
+    pairs = _numbered_pairs(in_order)
+    if pairs is None:
         return ranked.withColumn("slot", F.col("_k"))
 
     settled = stage(_settle(stage(_rows_before(in_order, pairs), "name-order")), "names-settled")
@@ -92,10 +92,10 @@ def _with_slots(ranked: DataFrame, in_order: DataFrame) -> DataFrame:
     return simple.unionByName(stepped.select(*simple.columns))
 
 
-def _numbered_pairs(in_order: DataFrame) -> DataFrame:
+def _numbered_pairs(in_order: DataFrame) -> DataFrame | None:
     """Names ``child`` = ``parent`` + ``_k`` that both occur, where the parent may want slot k.
 
-    ``start`` is the place of the child's first file in ``in_order``.
+    ``start`` is the place of the child's first file in ``in_order``. None without such names.
     """
     name = F.col("name")
     # A single file without a number in its name takes no part.
@@ -121,8 +121,11 @@ def _numbered_pairs(in_order: DataFrame) -> DataFrame:
     parents = groups.select(*unnumbered, F.col("name").alias("parent")).join(
         children.select(*unnumbered).distinct(), unnumbered, "left_semi"
     )
-    matched = broadcast_if_small(stage(parents, "name-parents"))
-    return children.join(matched, unnumbered).drop("_stem", "_suffix")
+    matched = stage(parents, "name-parents")
+    if at_most(matched, 0):
+        return None
+    pairs = children.join(broadcast_if_small(matched), unnumbered)
+    return stage(pairs.drop("_stem", "_suffix"), "name-pairs")
 
 
 def _rows_before(in_order: DataFrame, pairs: DataFrame) -> DataFrame:
