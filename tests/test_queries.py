@@ -1,9 +1,10 @@
-"""Every query against its SQL, over the whole tables of the smallest data set."""
+"""Every query of the library's own operators against its SQL, over the smallest data set."""
 
 import compare
 import pytest
 
 import __spark_entry__ as entry_point
+from assetflow.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def database():
     return compare.database(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, database, name):
     names, rows = compare.rows_of_spark(entry_point.queries()[name](spark, SF_DIR))
     sql = entry_point.oracle_sql().get(name)
