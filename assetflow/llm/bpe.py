@@ -234,8 +234,8 @@ class Encoder:
             return [part for part in _SPACE.split(text) if part]
         return text.split()
 
-    def encode_texts(self, texts: list[str]) -> tuple[pa.ListArray, pa.Array]:
-        """(token ids, decoded text) of each text."""
+    def encode_texts(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """(place of each text's first token, and of the end; token ids of all texts)."""
         split = [self._split(t) for t in texts]
         codes, chunks = pd.factorize(np.array([*chain.from_iterable(split)], dtype=object))
         parts = self.vocabulary.words_of(list(chunks))
@@ -260,7 +260,7 @@ class Encoder:
         before = np.concatenate([[0], np.cumsum(per_chunk[codes])])
         ends = np.cumsum([len(s) for s in split]) if split else []
         offsets = pa.array(before[np.concatenate([[0], ends]).astype(np.int64)], pa.int32())
-        return pa.ListArray.from_arrays(offsets, ids), self.decode(offsets, ids)
+        return offsets, ids
 
     def decode(self, offsets: pa.Array, ids: pa.Array) -> pa.Array:
         """Tokens joined by a space."""
@@ -277,11 +277,13 @@ def load(path: str | None = None) -> str:
         return file.read()
 
 
-def encode(df: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Columns of ``df`` but ``text``, then ``n_tokens``, ``ids`` and ``decoded`` of the text.
+def encode(
+    df: DataFrame, text: str = "text", vocabulary: str | None = None, decoded: bool = True
+) -> DataFrame:
+    """Columns of ``df`` but ``text``, then ``n_tokens``, ``ids`` and, if asked for, ``decoded``.
 
     ``vocabulary``: path of a tokenizer file. Null and empty texts have no tokens. Rows are
-    encoded one by one; no shuffle, and a task remembers a bounded number of words.
+    encoded one by one; no shuffle, and a task holds one trie of a piece of text at a time.
     """
     shared = df.sparkSession.sparkContext.broadcast(load(vocabulary))
 
@@ -291,12 +293,15 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str | None = None) ->
         encoder = Encoder(Vocabulary(shared.value))
 
         def run(texts):
-            ids, decoded = encoder.encode_texts([t.decode() if t else "" for t in texts])
-            return [ids.value_lengths().cast(pa.int64()), ids, decoded]
+            offsets, ids = encoder.encode_texts([t.decode() if t else "" for t in texts])
+            lists = pa.ListArray.from_arrays(offsets, ids)
+            columns = [lists.value_lengths().cast(pa.int64()), lists]
+            return [*columns, encoder.decode(offsets, ids)] if decoded else columns
 
         return run
 
-    return map_pieces(df, text, make, ENCODED, PIECE_BYTES)
+    schema = ENCODED if decoded else T.StructType(ENCODED.fields[:2])
+    return map_pieces(df, text, make, schema, PIECE_BYTES)
 
 
 def decode(df: DataFrame, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:

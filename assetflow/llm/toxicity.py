@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetflow.llm.batches import filter_pieces, map_pieces
+from assetflow.llm.optimize import minimize
 from assetflow.shared import stage
 
 # Categories in the order of the chain, as conditions on a labels row.
@@ -188,34 +189,7 @@ def _fit_linear(sample: _Sample, earlier: np.ndarray, y: np.ndarray, used: np.nd
         g = np.bincount(sample.numbers, np.repeat(r, sample.sizes), n_features)
         return loss, np.concatenate([g + REGULARIZATION * w, earlier @ r + REGULARIZATION * e, [r.sum()]])
 
-    theta = np.zeros(n_features + c + 1)
-    loss, slope = loss_and_slope(theta)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(ITERATIONS):
-        step, scales = -slope, []
-        for ds, dg in reversed(past):
-            scales.append((ds @ step) / (ds @ dg))
-            step = step - scales[-1] * dg
-        if past:
-            step = step * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
-        for (ds, dg), scale in zip(past, reversed(scales), strict=True):
-            step = step + (scale - (dg @ step) / (ds @ dg)) * ds
-        size = 1.0
-        while size > 1e-8:
-            new = theta + size * step
-            new_loss, new_slope = loss_and_slope(new)
-            if new_loss <= loss + 1e-4 * size * (slope @ step):
-                break
-            size /= 2
-        else:
-            break
-        if (new - theta) @ (new_slope - slope) > 1e-12:
-            past = [*past[-7:], (new - theta, new_slope - slope)]
-        done = loss - new_loss < 1e-7
-        theta, loss, slope = new, new_loss, new_slope
-        if done:
-            break
-    return theta
+    return minimize(loss_and_slope, np.zeros(n_features + c + 1), ITERATIONS)
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
