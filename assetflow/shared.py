@@ -52,6 +52,12 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that later steps no longer read."""
+    file_system, hadoop_path = _file_system(spark, path)
+    file_system.delete(hadoop_path, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` exists on the file system it belongs to."""
     file_system, hadoop_path = _file_system(spark, path)
