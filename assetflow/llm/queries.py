@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from assetflow.llm import bpe, decontam, htmltree, neardup, quality, sharding, toxicity, urlrules, warc
+from assetflow.llm import (
+    bpe,
+    decontam,
+    htmltree,
+    langmodel,
+    neardup,
+    quality,
+    sharding,
+    toxicity,
+    urlrules,
+    warc,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_odd_sketches": neardup.op2_odd_sketches,
     "op3_archive": warc.op3_archive,
+    "op4_pitman_yor": langmodel.op4_pitman_yor,
     "op5_url_rules": urlrules.op5_url_rules,
     "op6_kd_shards": sharding.op6_kd_shards,
     "op7_decontaminate": decontam.op7_decontaminate,
