@@ -25,8 +25,8 @@ from assetflow.llm.optimize import minimize
 
 # Bound of the fit: pages, those with the least hashes of page_id.
 TRAIN_PAGES = 150
-ITERATIONS = 80
-REGULARIZATION = 1e-3
+ITERATIONS = 150
+REGULARIZATION = 2e-5
 
 # Fixed values of HTML: elements without content, whose content is not markup, and that start and
 # end a block of text.
@@ -316,7 +316,8 @@ def labels_of(elements: list[Element]) -> list[bool] | None:
 
 
 def variants(elements: list[Element], labels: list[bool], rng: random.Random) -> list[tuple[list[Element], list[bool]]]:
-    """The page as it is; with plain elements told apart by class words; with further boilerplate."""
+    """The page as it is; with plain elements told apart by class words; with further boilerplate;
+    and each of these with little left of the content."""
 
     def copied(e: Element, **changes) -> Element:
         return Element(**({k: getattr(e, k) for k in e.__dataclass_fields__} | changes))
@@ -369,7 +370,16 @@ def variants(elements: list[Element], labels: list[bool], rng: random.Random) ->
                     marks.append(False)
         return grown, marks
 
-    return [(elements, labels), (plain(), labels), crowded(elements), crowded(plain())]
+    def thinned(base: list[Element], marks: list[bool]) -> tuple[list[Element], list[bool]]:
+        """Without many of the content's leaves, so that no single sort of element has to be there."""
+        parents = {e.parent for e in base}
+        share = rng.choice([0.3, 0.9])
+        left = [i for i in range(len(base)) if i in parents or not marks[i] or rng.random() > share]
+        new = {old: i for i, old in enumerate(left)}
+        return [copied(base[i], parent=new.get(base[i].parent, -1)) for i in left], [marks[i] for i in left]
+
+    full = [(elements, labels), (plain(), labels), crowded(elements), crowded(plain())]
+    return full + [thinned(tree, marks) for tree, marks in full]
 
 
 def train(pages: DataFrame) -> np.ndarray:

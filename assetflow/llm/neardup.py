@@ -35,6 +35,7 @@ BANDS, BAND_ROWS = 26, 5
 SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 1024
 _SKETCH_LONGS = SKETCH_BITS // 64
+_FP = "__dup_fp"
 # At the threshold 19.5 of 130 samples differ, with a deviation of 4.1; 46 are 6.5 deviations more.
 MAX_DIFFERENT = 46
 
@@ -135,8 +136,8 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     likely = bitmaps.select(docs, "doc_id", bitmaps.build(wanted, "least_id"), present=True)
     return (
         with_fingerprint(likely.select("text"))
-        .join(wanted.select("fp"), F.col("_fp") == F.col("fp"), "left_semi")
-        .groupBy(F.col("_fp").alias("fp"))
+        .join(wanted.select("fp"), F.col(_FP) == F.col("fp"), "left_semi")
+        .groupBy(F.col(_FP).alias("fp"))
         .agg(F.first("text").alias("text"))
     )
 
@@ -270,9 +271,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``_fp``, the fingerprint of the text's shingle set."""
+    """``df`` with ``__dup_fp``, the fingerprint of the text's shingle set."""
     at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField("_fp", T.BinaryType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(_FP, T.BinaryType())])
     names = schema.names
 
     def run(stream):
@@ -290,7 +291,8 @@ def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, with all columns.
 
-    Of rows that are equal in doc_id and shingles one stays; texts without a word all stay.
+    Of rows that are equal in doc_id and shingles one stays; texts without a word all stay. Columns
+    may have any name that does not start with ``__dup_``.
     """
     columns = docs.columns
     found = stage(near_duplicates(docs, percent).where("fp is not null"), "found")
@@ -298,25 +300,28 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     judged = stage(
         found.groupBy("fp")
         .agg(
-            F.min("component_id").alias("_first_id"),
-            F.max("kept").alias("_kept"),
-            F.sum(F.col("kept").cast("long")).alias("_rows"),
-            F.count("*").alias("_all"),
+            F.min("component_id").alias("first_id"),
+            F.max("kept").alias("kept"),
+            F.sum(F.col("kept").cast("long")).alias("rows"),
+            F.count("*").alias("all"),
         )
-        .where("not _kept or _all > 1"),
+        .where("not kept or all > 1")
+        .select(*[F.col(c).alias(f"__dup_{c}") for c in ("first_id", "kept", "rows")], F.col("fp").alias("__dup_class")),
         "judged",
     )
-    ids = found.join(judged.select("fp"), "fp", "left_semi").select("doc_id")
+    ids = found.join(judged, F.col("fp") == F.col("__dup_class"), "left_semi").select("doc_id")
     bitmap = bitmaps.build(ids, "doc_id")
     untouched = bitmaps.select(docs, "doc_id", bitmap, present=False)
     named = with_fingerprint(bitmaps.select(docs, "doc_id", bitmap, present=True))
-    first = F.col("_kept") & F.col("doc_id").eqNullSafe(F.col("_first_id"))
-    left = named.join(judged, F.col("_fp") == F.col("fp"), "left").where(F.col("fp").isNull() | first)
-    if judged.where("_rows > 1").isEmpty():
+    first = F.col("__dup_kept") & F.col("doc_id").eqNullSafe(F.col("__dup_first_id"))
+    left = named.join(judged, F.col(_FP) == F.col("__dup_class"), "left").where(
+        F.col("__dup_class").isNull() | first
+    )
+    if judged.where("__dup_rows > 1").isEmpty():
         return untouched.unionByName(left.select(*columns))
-    left = stage(left.select(*columns, "_fp", "_rows"), "firsts")
-    once = left.where("_rows is null or _rows = 1").select(*columns)
-    again = left.where("_rows > 1").dropDuplicates(["_fp"]).select(*columns)
+    left = stage(left.select(*columns, _FP, "__dup_rows"), "firsts")
+    once = left.where("__dup_rows is null or __dup_rows = 1").select(*columns)
+    again = left.where("__dup_rows > 1").dropDuplicates([_FP]).select(*columns)
     return untouched.unionByName(once).unionByName(again)
 
 
