@@ -251,6 +251,12 @@ def sql(table: str = "documents") -> str:
     """DuckDB SQL of ``op7_decontaminate`` over ``table``."""
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    leads = ", ".join(f"lead(w, {k}) over t as w{k}" for k in range(1, WINDOW))
+    grams = " union all ".join(
+        f"select r, i, {n} as n, concat_ws(' ', w{''.join(f', w{k}' for k in range(1, n))}) as gram from runs "
+        f"where {n} in (select n from windows)" + (f" and w{n - 1} is not null" if n > 1 else "")
+        for n in range(1, WINDOW + 1)
+    )
     return f"""
     with items as (
       select coalesce(cast(item_id as varchar), '') as item, {words} as ws from benchmark),
@@ -259,10 +265,9 @@ def sql(table: str = "documents") -> str:
         array_to_string(ws[i:i + least(len(ws), {WINDOW}) - 1], ' ') as gram
       from (select *, unnest(range(1, greatest(1, len(ws) - {WINDOW - 1}) + 1)) as i from items where len(ws) > 0)),
     docs as (select row_number() over () as r, doc_id, {words} as ws from {table}),
-    grams as (
-      select r, i, n, array_to_string(ws[i:i + n - 1], ' ') as gram
-      from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as i
-            from docs, (select distinct n from windows) where len(ws) >= n)),
+    words as (select r, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from docs),
+    runs as (select *, {leads} from words window t as (partition by r order by i)),
+    grams as ({grams}),
     hits as (select g.r, g.i, g.n, w.item from grams g join windows w on g.n = w.n and g.gram = w.gram),
     places as (select r, count(distinct p) as n_hit
                from (select r, unnest(range(i, i + n)) as p from hits) group by r),

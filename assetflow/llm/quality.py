@@ -161,16 +161,14 @@ def op10_repetition(spark, sf_dir: str) -> DataFrame:
 
 def _repeats_sql(n: int, value: str) -> str:
     """Per row: a sum over the words inside n-word windows that a text has twice or more."""
-    gram = " || ' ' || ".join(f"ws[i + {k}]" for k in range(n))
+    gram = " || ' ' || ".join(["w", *[f"lead(w, {k}) over t" for k in range(1, n)]])
+    back = f"rows between {n - 1} preceding and current row"
     return f"""
       select r, sum({value}) as v from (
-        select distinct r, p, w from (
-          select r, unnest(range(i, i + {n})) as p, ws[unnest(range(i, i + {n}))] as w from (
-            select *, count(*) over (partition by r, gram) as times from (
-              select r, ws, i, {gram} as gram
-              from (select r, ws, unnest(range(1, len(ws) - {n - 2})) as i from docs where len(ws) >= {n})))
-          where times > 1))
-      group by r"""
+        select r, w, max(times) over (partition by r order by p {back}) as most from (
+          select r, p, w, case when gram is null then 0 else count(*) over (partition by r, gram) end as times
+          from (select r, p, w, {gram} as gram from words window t as (partition by r order by p))))
+      where most > 1 group by r"""
 
 
 def sql(table: str = "documents") -> str:
@@ -187,6 +185,7 @@ def sql(table: str = "documents") -> str:
       select row_number() over () as r, doc_id, coalesce(text, '') as t,
              regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws
       from {table}),
+    words as (select r, unnest(ws) as w, unnest(range(len(ws))) as p from docs),
     lines as (
       select r, line, count(*) as times,
              any_value(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) as chars
