@@ -1,4 +1,4 @@
-"""Arrow batches of texts, cut so that a task holds a few megabytes of text at a time."""
+"""Arrow batches of texts, cut so that a task holds little of the text at a time."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Bytes of text worked on at once. A text beyond it is a piece of its own, never cut.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

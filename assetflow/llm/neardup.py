@@ -6,10 +6,11 @@ bit. Two classes that differ in m samples have bitmaps that differ in at most 2
 count of ones in their XOR bounds the similarity from above: candidates far below the threshold go
 before any text is moved.
 
-No bucket is turned into all its pairs. First each class is compared with the least class of its
-buckets, and the best candidate is confirmed; then only classes of one bucket that are still in
-different components are compared. A link inside a component changes nothing, so the components
-are those of all candidate pairs.
+No bucket is turned into all its pairs. First each class is compared with one class of each of its
+buckets, drawn by hash, and the closest is confirmed. Then only classes of one bucket that are
+still in different components are compared, outsiders with the others of the bucket; the closest
+of each outsider is confirmed first, and then what is still between different components. A link
+inside a component changes nothing, so the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def _side(classes: DataFrame, side: str, *more: str) -> DataFrame:
         F.col("fp").alias(side),
         F.col("n_shingles").alias(f"{side}_n"),
         F.col("sketch").alias(f"{side}_sketch"),
-        *more,
+        *[F.col(c).alias(f"{side}_{c}") for c in more],
     )
 
 
@@ -168,11 +169,21 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     return rows.select("a", "b", "a_text", "b_text").mapInArrow(run, "u binary, v binary")
 
 
+def _closest(pairs: DataFrame) -> DataFrame:
+    """For each a the b whose sketch differs least."""
+    best = pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best"))
+    return best.select("a", F.col("best.b").alias("b"))
+
+
 def _first_candidates(classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """For each class the closest of the least classes of its buckets."""
-    least = buckets.groupBy("band").agg(F.min("fp").alias("b"), F.count("*").alias("n"))
+    """For each class the closest of the classes that stand for its buckets.
+
+    Every bucket draws its own, so that a class in many buckets of a large group meets many others.
+    """
+    drawn = F.min(F.struct(F.xxhash64("fp", "band").alias("h"), "fp"))
+    centers = buckets.groupBy("band").agg(drawn.alias("center"), F.count("*").alias("n"))
     pairs = (
-        buckets.join(least.where("n > 1"), "band")
+        buckets.join(centers.where("n > 1").select("band", F.col("center.fp").alias("b")), "band")
         .where("fp != b")
         .select(F.col("fp").alias("a"), "b")
         .distinct()
@@ -183,14 +194,14 @@ def _first_candidates(classes: DataFrame, buckets: DataFrame, percent: int) -> D
         .where(_may_link(percent))
         .select("a", "b", _different_bits("a_sketch", "b_sketch").alias("bits"))
     )
-    return sifted.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b")
+    return _closest(sifted)
+
 
+def _outside_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket in different components that may be similar, each once, with ``bits``.
 
-def _second_candidates(
-    classes: DataFrame, buckets: DataFrame, labels: DataFrame, tried: DataFrame, percent: int
-) -> DataFrame:
-    """Pairs of one bucket in different components, none of them in the bucket's main component
-    unless the other one is outside it."""
+    ``a`` is outside the bucket's largest component; so is ``b`` only if it is less than ``a``.
+    """
     crowded = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     labelled = (
         buckets.join(crowded, "band", "left_semi")
@@ -205,22 +216,36 @@ def _second_candidates(
         .select("band", F.col("most.label").alias("main"))
     )
     split = stage(labelled.join(main, "band"), "split-buckets")
-    inner = _side(classes, "a")
-    outer = _side(classes, "b")
+    members = stage(classes.join(split.select("fp").distinct(), "fp", "left_semi"), "members")
     left = split.where("label != main").select("band", F.col("fp").alias("a"), F.col("label").alias("a_label"))
     right = split.select(
-        "band", F.col("fp").alias("b"), F.col("label").alias("b_label"), (F.col("label") == F.col("main")).alias("b_main")
+        "band",
+        F.col("fp").alias("b"),
+        F.col("label").alias("b_label"),
+        (F.col("label") == F.col("main")).alias("b_main"),
     )
-    found = (
-        left.join(inner, "a")
-        .join(right.join(outer, "b"), "band")
-        .where((F.col("a_label") != F.col("b_label")) & (F.col("b_main") | (F.col("a") > F.col("b"))))
-        .where(_may_link(percent))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    different = (F.col("a_label") != F.col("b_label")) & (F.col("b_main") | (F.col("a") > F.col("b")))
+    # A pair counts in the first of the bands that it shares.
+    here = F.col("band") == F.element_at(F.array_intersect("a_bands", "b_bands"), 1)
+    left = left.join(_side(members, "a", "bands"), "a")
+    right = right.join(_side(members, "b", "bands"), "b")
+    found = left.alias("x").join(
+        right.alias("y"), (F.col("x.band") == F.col("y.band")) & different & _may_link(percent)
+    )
+    return (
+        found.select(F.col("x.band").alias("band"), "a", "b", "a_bands", "b_bands", "a_sketch", "b_sketch")
+        .where(here)
+        .select("a", "b", _different_bits("a_sketch", "b_sketch").alias("bits"))
         .distinct()
     )
-    done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return found.join(done, ["a", "b"], "left_anti")
+
+
+def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose components are not the same."""
+    for side in ("a", "b"):
+        label = labels.select(F.col("node").alias("_node"), F.col("label").alias(f"{side}_now"))
+        pairs = pairs.join(label, F.col(side) == F.col("_node"), "left").drop("_node")
+    return pairs.where(~F.coalesce("a_now", "a").eqNullSafe(F.coalesce("b_now", "b"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -248,10 +273,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = stage(_first_candidates(classes, buckets, percent), "candidates")
     links = stage(_confirmed(docs, classes, first, percent), "links")
     labels = components(links)
-    second = stage(_second_candidates(classes, buckets, labels, first, percent), "candidates")
-    more = stage(_confirmed(docs, classes, second, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    outside = stage(_outside_pairs(classes, buckets, labels, percent), "candidates")
+    if not outside.isEmpty():
+        closest = stage(_closest(outside).join(first, ["a", "b"], "left_anti"), "candidates")
+        links = stage(links.union(_confirmed(docs, classes, closest, percent)), "links")
+        labels = components(links)
+        tried = first.union(closest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        rest = _still_apart(outside, labels).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
+        if not rest.isEmpty():
+            labels = components(links.union(_confirmed(docs, classes, rest, percent)))
     labelled = classes.select("fp", "least_id").join(labels, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("label", "fp").alias("label")
     )
