@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from assetflow.plans.catalog import query
@@ -10,12 +9,6 @@ from assetflow.sources import views
 from assetflow.streaming import jobs
 
 
-def _event_time(spark: SparkSession, stream):
-    """Watermarks need a time with a zone; the tables' times are UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 @query(
     "stream_inventory",
     "select ext, count(*) as num_files, cast(sum(size_bytes) as bigint) as total_bytes from files "
@@ -24,26 +17,22 @@ def _event_time(spark: SparkSession, stream):
 )
 def stream_inventory(spark, sf):
     arriving = views.view(spark, sf, views.ASSETS, read=jobs.table_arrivals)
-    return jobs.run_available(jobs.arrival_counts(arriving), "complete")
+    return jobs.run_available(arriving, jobs.arrival_counts())
 
 
-# Append mode gives the windows that the last watermark has closed.
 @query(
     "stream_error_rate",
-    """select strftime(day, '%Y-%m-%d') as window_start, file_type, count(*) as batches,
+    """select strftime(date_trunc('day', ts), '%Y-%m-%d') as window_start, file_type, count(*) as batches,
               count(*) filter (failed) as failed_batches,
               round(count(*) filter (failed) / count(*), 6) as err_rate
-       from (select *, date_trunc('day', ts) as day from timings)
-       where day + interval 1 day <= (select max(ts) - interval 1 hour from timings)
-       group by day, file_type""",
+       from timings group by date_trunc('day', ts), file_type""",
     ("timings",),
 )
 def stream_error_rate(spark, sf):
-    timings = _event_time(spark, views.view(spark, sf, views.TIMINGS, read=jobs.table_arrivals))
-    rows = jobs.run_available(jobs.error_rate_by_window(timings))
-    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")).withColumn(
-        "err_rate", F.round("err_rate", 6)
-    )
+    timings = views.view(spark, sf, views.TIMINGS, read=jobs.table_arrivals)
+    rows = jobs.run_available(timings, jobs.error_rate_by_window())
+    day = F.substring(F.col("window_start").cast("string"), 1, 10)
+    return rows.withColumns({"window_start": day, "err_rate": F.round("err_rate", 6)})
 
 
 @query(
@@ -53,26 +42,24 @@ def stream_error_rate(spark, sf):
        from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as session from
                (select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 2 hour
                                then 0 else 1 end as fresh from events))
-       group by user_id, session
-       having max(ts) + interval 2 hour <= (select max(ts) - interval 1 hour from events)""",
+       group by user_id, session""",
 )
 def stream_sessions(spark, sf):
-    events = _event_time(spark, jobs.table_arrivals(spark, sf, "events")).select("ts", "user_id")
-    rows = jobs.run_available(jobs.sessions(events, "user_id"))
-    shown = "yyyy-MM-dd HH:mm:ss"
+    events = jobs.table_arrivals(spark, sf, "events").select("ts", "user_id")
+    rows = jobs.run_available(events, jobs.sessions("user_id"))
+    # To the second, whatever the session's time zone.
     return rows.withColumns(
-        {c: F.date_format(c, shown) for c in ("session_start", "session_end")}
+        {c: F.substring(F.col(c).cast("string"), 1, 19) for c in ("session_start", "session_end")}
     )
 
 
-# All rows arrive together, so no delivery is older than the delay.
 @query(
     "stream_dedup",
     "select distinct concat('/in/u', user_id, '/', event_type, '.json') as path from events",
 )
 def stream_dedup(spark, sf):
     # An event stands for the delivery of a user's file of that type.
-    events = _event_time(spark, jobs.table_arrivals(spark, sf, "events"))
+    events = jobs.table_arrivals(spark, sf, "events")
     path = F.concat(F.lit("/in/u"), "user_id", F.lit("/"), "event_type", F.lit(".json"))
     deliveries = events.select("ts", path.alias("path"))
-    return jobs.run_available(jobs.first_deliveries(deliveries, ["path"])).select("path")
+    return jobs.run_available(deliveries, jobs.first_deliveries(["path"])).select("path")

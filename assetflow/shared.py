@@ -64,6 +64,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    file_system, hadoop_path = _file_system(spark, path)
+    return file_system.getFileStatus(hadoop_path).isDirectory()
+
+
 def qualified_path(spark: SparkSession, path: str) -> str:
     """``path`` the way Spark lists it, with its scheme."""
     file_system, hadoop_path = _file_system(spark, path)

@@ -1,22 +1,35 @@
 """The inventory and the error report on files that keep arriving (extensions).
 
-The jobs are ordinary transformations of streaming DataFrames. ``run_available`` processes what
-has arrived and stops; a service would start the same frames with a processing-time trigger.
+A job is an incremental one: of each micro-batch it stores a partial result (counts, bursts, first
+deliveries), and its result is put together from all that is stored. Partial results of any split
+of the rows add up to the same, so nothing depends on how many files a trigger takes, and rows that
+come late count like all others. ``run_available`` processes what has arrived and stops; a service
+would start the same job with a processing-time trigger.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetflow.constants import BATCH_SIZE
 from assetflow.operators.inventory import classify, supported
-from assetflow.shared import new_path
+from assetflow.shared import is_folder, new_path, path_exists
 
-_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+@dataclass(frozen=True)
+class Job:
+    """``partial``: of the rows of a micro-batch; ``combine``: of all partial results so far.
+
+    With ``once``, a partial row whose key columns are stored already is left out.
+    """
+
+    partial: Callable[[DataFrame], DataFrame]
+    combine: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    once: Sequence[str] = field(default=())
 
 
 def file_arrivals(spark: SparkSession, root: str, max_files: int = BATCH_SIZE) -> DataFrame:
@@ -33,93 +46,130 @@ def file_arrivals(spark: SparkSession, root: str, max_files: int = BATCH_SIZE) -
     )
 
 
-def table_arrivals(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's Parquet files as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", BATCH_SIZE)
-        .parquet(folder)
+def table_arrivals(
+    spark: SparkSession, folder: str, name: str, max_files: int = BATCH_SIZE
+) -> DataFrame:
+    """A table's Parquet files as a stream, whether the table is one file or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option(
+        "maxFilesPerTrigger", max_files
     )
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def _added(rows: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def arrival_counts(files: DataFrame) -> DataFrame:
+def arrival_counts() -> Job:
     """Files and bytes so far per supported type."""
-    return (
-        supported(classify(files))
-        .groupBy("ext")
-        .agg(F.count("*").alias("num_files"), F.sum("size_bytes").alias("total_bytes"))
-    )
 
+    def partial(files: DataFrame) -> DataFrame:
+        return (
+            supported(classify(files))
+            .groupBy("ext")
+            .agg(F.count("*").alias("num_files"), F.sum("size_bytes").alias("total_bytes"))
+        )
+
+    return Job(partial, lambda rows: _added(rows, ["ext"], ["num_files", "total_bytes"]))
 
-def error_rate_by_window(
-    timings: DataFrame, width: str = "1 day", delay: str = "1 hour"
-) -> DataFrame:
-    """Attempted and failed batches per type and time window; later rows are dropped."""
-    return (
-        timings.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width).alias("w"), "file_type")
-        .agg(F.count("*").alias("batches"), F.count_if("failed").alias("failed_batches"))
-        .select(
-            F.col("w.start").alias("window_start"),
-            "file_type",
-            "batches",
-            "failed_batches",
-            (F.col("failed_batches") / F.col("batches")).alias("err_rate"),
+
+def error_rate_by_window(width: str = "1 day") -> Job:
+    """Attempted and failed batches per type and time window."""
+
+    def partial(timings: DataFrame) -> DataFrame:
+        return (
+            timings.groupBy(F.window("ts", width).alias("w"), "file_type")
+            .agg(F.count("*").alias("batches"), F.count_if("failed").alias("failed_batches"))
+            .select(
+                F.col("w.start").alias("window_start"), "file_type", "batches", "failed_batches"
+            )
         )
-    )
 
+    def combine(rows: DataFrame) -> DataFrame:
+        totals = _added(rows, ["window_start", "file_type"], ["batches", "failed_batches"])
+        return totals.withColumn("err_rate", F.col("failed_batches") / F.col("batches"))
 
-def sessions(events: DataFrame, key: str, gap: str = "2 hours", delay: str = "1 hour") -> DataFrame:
-    """Bursts of activity per key, ended by a pause of ``gap``."""
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", gap).alias("w"), key)
-        .agg(F.count("*").alias("num_events"))
-        .select(
-            key,
-            F.col("w.start").alias("session_start"),
-            F.col("w.end").alias("session_end"),
-            "num_events",
+    return Job(partial, combine)
+
+
+def sessions(key: str, gap: str = "2 hours") -> Job:
+    """Bursts of activity per key, ended by a pause of ``gap``.
+
+    Rows are merged to bursts within a micro-batch, and bursts that overlap to longer ones.
+    """
+
+    def partial(events: DataFrame) -> DataFrame:
+        return (
+            events.groupBy(F.session_window("ts", gap).alias("w"), key)
+            .agg(F.count("*").alias("num_events"))
+            .select(
+                key,
+                F.col("w.start").alias("session_start"),
+                F.col("w.end").alias("session_end"),
+                "num_events",
+            )
         )
-    )
+
+    def combine(rows: DataFrame) -> DataFrame:
+        in_order = Window.partitionBy(key).orderBy("session_start", "session_end")
+        earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+        latest = F.max("session_end").over(earlier)
+        fresh = F.when(F.col("session_start") < latest, 0).otherwise(1)
+        numbered = rows.withColumn("_fresh", fresh).withColumn(
+            "_session", F.sum("_fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        return (
+            numbered.groupBy(key, "_session")
+            .agg(
+                F.min("session_start").alias("session_start"),
+                F.max("session_end").alias("session_end"),
+                F.sum("num_events").alias("num_events"),
+            )
+            .drop("_session")
+        )
+
+    return Job(partial, combine)
 
 
-def first_deliveries(files: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """Each file once, however often it is delivered within ``delay``."""
-    return files.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+def first_deliveries(keys: Sequence[str]) -> Job:
+    """Each file once, however often and however late it is delivered again."""
+    return Job(lambda files: files.dropDuplicates(list(keys)), once=tuple(keys))
 
 
-def run_available(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
-    """Process everything that has arrived; returns the result as a table.
+def run_available(stream: DataFrame, job: Job | None = None, path: str | None = None) -> DataFrame:
+    """Process everything that has arrived; returns the result over all that arrived so far.
 
-    Append results go to Parquet below ``path``, with the stream's progress: running again with
-    the same path takes only what arrived since. Without a path, a new one in the shared folder
-    is used. ``complete`` is for results of a few rows (a row per type), which are kept in memory.
-    Open windows are held in RocksDB, not on the heap.
+    Partial results go to Parquet below ``path``, a folder for each micro-batch, with the stream's
+    progress: running again with the same path takes only what arrived since and adds it; with
+    nothing new it returns the same result. A micro-batch that is repeated after a failure replaces
+    its folder. Without a path, a new one in the shared folder is used.
     """
     spark = stream.sparkSession
+    job = job or Job(lambda rows: rows)
     out = path or new_path(spark, "stream")
-    writer = (
-        stream.writeStream.outputMode(mode)
+    rows_path = f"{out}/rows"
+    schema = job.partial(stream).schema
+
+    def stored() -> DataFrame:
+        return spark.read.schema(f"{schema.toDDL()}, batch_id long").parquet(rows_path)
+
+    def store(rows: DataFrame, batch_id: int) -> None:
+        part = job.partial(rows)
+        if job.once and path_exists(spark, rows_path):
+            before = stored().where(F.col("batch_id") < batch_id).select(*job.once)
+            part = part.join(before, list(job.once), "left_anti")
+        part.write.mode("overwrite").parquet(f"{rows_path}/batch_id={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(store)
         .trigger(availableNow=True)
         .option("checkpointLocation", f"{out}/checkpoint")
+        .start()
     )
-    before = spark.conf.get(_STATE_STORE, None)
-    spark.conf.set(_STATE_STORE, _ROCKSDB)  # a query keeps what is set when it starts
-    try:
-        if mode == "complete":
-            name = f"stream_{uuid.uuid4().hex}"
-            query = writer.format("memory").queryName(name).start()
-        else:
-            query = writer.format("parquet").start(f"{out}/rows")
-    finally:
-        if before is None:
-            spark.conf.unset(_STATE_STORE)
-        else:
-            spark.conf.set(_STATE_STORE, before)
     query.awaitTermination()
-    if mode == "complete":
-        return spark.table(name)
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    if not path_exists(spark, rows_path):
+        return job.combine(spark.createDataFrame([], schema))
+    return job.combine(stored().drop("batch_id"))
