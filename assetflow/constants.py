@@ -16,7 +16,6 @@ SUPPORTED_CODECS = ("h264", "avc1", "hevc", "hev1", "h265", "vp09", "vp9")
 MIN_FRAMES = 8  # fewer frames than this are too short
 VFR_TOLERANCE = 0.01  # relative gap between nominal and average frame rate
 MAX_ERR_RATE = 0.05  # a measurement is trusted below this rate
-MAX_SAMPLES = 441_000  # samples per channel that enter a norm
 BATCH_SIZE = 200  # files per batch
 PROGRESS_EVERY = 250  # files between two progress marks
 REPORTED_ERRORS = 5  # error samples shown in a summary

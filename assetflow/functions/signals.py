@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetflow.constants import MAX_SAMPLES, N_FFT
+from assetflow.constants import N_FFT
 
 
 def n_samples(waveform: Column) -> Column:
@@ -36,45 +36,43 @@ def _total(values: Column, term) -> Column:
     )
 
 
-def mean_abs(waveform: Column) -> Column:
+def mean_abs(waveform: Column, cap: int | None = None) -> Column:
     """Mean absolute sample over all channels; null for an empty clip."""
-    samples = _samples(waveform)
+    samples = _samples(waveform, cap)
     return F.try_divide(_total(samples, F.abs), F.size(samples))
 
 
-def l2_norm(waveform: Column, cap: int = MAX_SAMPLES) -> Column:
-    """Square root of the energy of the first ``cap`` samples of each channel."""
+def l2_norm(waveform: Column, cap: int | None = None) -> Column:
+    """Square root of the energy, of the first ``cap`` samples of each channel if that is given."""
     return F.sqrt(_total(_samples(waveform, cap), lambda x: x * x))
 
 
-def rms(waveform: Column, cap: int = MAX_SAMPLES) -> Column:
+def rms(waveform: Column, cap: int | None = None) -> Column:
     """Root mean square over the same samples; null for an empty clip."""
     samples = _samples(waveform, cap)
     return F.sqrt(F.try_divide(_total(samples, lambda x: x * x), F.size(samples)))
 
 
 def channel_levels(
-    channels: list[np.ndarray], cap: int = MAX_SAMPLES
+    channels: list[np.ndarray], cap: int | None = None
 ) -> tuple[float | None, float, float | None]:
-    """Mean absolute sample, norm and root mean square of one clip."""
+    """Mean absolute sample, norm and root mean square of one clip, all over the same samples."""
     total = energy = 0.0
-    capped = 0
+    n = 0
     for channel in channels:
-        samples = channel.astype("f8")
+        samples = channel[:cap].astype("f8")
         total += float(np.abs(samples).sum())
-        first = samples[:cap]
-        energy += float(first @ first)
-        capped += len(first)
-    if not capped:
+        energy += float(samples @ samples)
+        n += len(samples)
+    if not n:
         return None, 0.0, None
-    n = sum(len(channel) for channel in channels)
-    return total / n, energy**0.5, (energy / capped) ** 0.5
+    return total / n, energy**0.5, (energy / n) ** 0.5
 
 
 LEVELS = T.StructType([T.StructField(name, T.DoubleType()) for name in ("mean_abs", "l2", "rms")])
 
 
-def levels(waveform: Column, cap: int = MAX_SAMPLES) -> Column:
+def levels(waveform: Column, cap: int | None = None) -> Column:
     """``mean_abs``, ``l2_norm`` and ``rms`` of an ``array<array<float>>`` as one struct."""
 
     @F.arrow_udf(LEVELS)
@@ -93,14 +91,14 @@ def levels(waveform: Column, cap: int = MAX_SAMPLES) -> Column:
 
 
 def pad(waveform: Column, channels: Column, length: Column) -> Column:
-    """First ``channels`` channels, each cut or zero-filled to ``length`` samples."""
+    """Zero-filled to ``channels`` channels of ``length`` samples; nothing is cut."""
     zero = F.lit(0.0).cast("float")
 
     def fit(ch: Column) -> Column:
-        kept = F.slice(ch, F.lit(1), length)
-        return F.concat(kept, F.array_repeat(zero, (length - F.size(kept)).cast("int")))
+        return F.concat(ch, F.array_repeat(zero, (length - F.size(ch)).cast("int")))
 
-    return F.transform(F.slice(waveform, F.lit(1), channels), fit)
+    silent = F.array_repeat(F.array_repeat(zero, length.cast("int")), (channels - F.size(waveform)).cast("int"))
+    return F.concat(F.transform(waveform, fit), silent)
 
 
 def _frame_power(signal: np.ndarray, n_fft: int, hop: int) -> list[float] | None:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetflow.constants import BATCH_SIZE, MAX_SAMPLES, NEEDLE
+from assetflow.constants import BATCH_SIZE, NEEDLE
 from assetflow.functions import signals
 from assetflow.functions.text import canonical_json, is_json
 from assetflow.operators.batching import batch_assign
-from assetflow.shared import broadcast_if_small, stage
+from assetflow.shared import stage
 
 # ------------------------------------------------------------------ text
 
@@ -81,23 +81,27 @@ def json_validity(docs: DataFrame, *keys: str) -> DataFrame:
 # ------------------------------------------------------------------ waveforms
 
 
-def signal_batch_shape(clips: DataFrame, cap: int = MAX_SAMPLES) -> DataFrame:
-    """Per batch: fewest channels and greatest length, the length capped."""
+def signal_batch_shape(clips: DataFrame) -> DataFrame:
+    """Per batch: most channels and greatest length."""
     return clips.groupBy("batch_id").agg(
         F.count("*").alias("num_clips"),
-        F.min(F.size("waveform")).alias("min_channels"),
-        F.least(F.max(signals.n_samples(F.col("waveform"))), F.lit(cap)).alias("max_length"),
+        F.max(F.size("waveform")).alias("max_channels"),
+        F.max(signals.n_samples(F.col("waveform"))).alias("max_length"),
     )
 
 
-def signal_pad(clips: DataFrame, cap: int = MAX_SAMPLES) -> DataFrame:
-    """Clips cut and zero-filled to their batch's shape."""
-    shape = broadcast_if_small(signal_batch_shape(clips, cap).drop("num_clips"))
+def signal_pad(clips: DataFrame) -> DataFrame:
+    """Clips zero-filled to their batch's shape; no sample and no channel is cut.
+
+    Runs when called: the shapes, a row per batch, are written first, so that the clips are read
+    once more and not again for every use of the result.
+    """
+    shape = stage(signal_batch_shape(clips).drop("num_clips"), "shapes")
     return (
         clips.join(shape, "batch_id")
         .withColumn(
             "waveform",
-            signals.pad(F.col("waveform"), F.col("min_channels"), F.col("max_length")),
+            signals.pad(F.col("waveform"), F.col("max_channels"), F.col("max_length")),
         )
-        .drop("min_channels", "max_length")
+        .drop("max_channels", "max_length")
     )

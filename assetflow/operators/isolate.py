@@ -43,13 +43,19 @@ def batch_apply_timed(batches: DataFrame, keys: Sequence[str], fn: BatchFunction
     )
 
 
+def batch_key(batches: DataFrame) -> list[str]:
+    """The columns that tell batches apart: batch ids start anew with each type, and with each
+    codec where batches are made within codecs."""
+    return [c for c in ("file_type", "codec", "batch_id") if c in batches.columns]
+
+
 def time_engines(batches: DataFrame, engines: dict[str, BatchFunction]) -> DataFrame:
     """Run every engine's function on every batch: the ``timings`` that reports are made from.
 
-    ``batches`` needs file_type and batch_id. Runs when called and stores what was measured, so
-    reports on it do not measure again.
+    ``batches`` needs file_type and batch_id, and codec if batches were made within codecs. Runs
+    when called and stores what was measured, so reports on it do not measure again.
     """
-    keys = ["file_type", "batch_id"]
+    keys = batch_key(batches)
     runs = [
         batch_apply_timed(batches, keys, fn).withColumn("engine", F.lit(engine))
         for engine, fn in engines.items()

@@ -1,7 +1,7 @@
 """From batch timings to reports.
 
 ``timings`` has one row per attempted batch: batch_id, file_type, engine (``baseline`` or
-``accel``), n_files, elapsed_sec, failed.
+``accel``), n_files, elapsed_sec, failed; and codec if batches were made within codecs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assetflow.constants import CURVE_CHECKPOINTS, PROGRESS_EVERY, REPORTED_ERRORS
 from assetflow.functions import quality
+from assetflow.operators.isolate import batch_key
 from assetflow.operators.ranking import rank_rows, running_totals
 from assetflow.shared import stage
 
@@ -47,7 +48,7 @@ def bench_by_type(timings: DataFrame) -> DataFrame:
         parts[f"{engine}_ok_files"] = F.sum(F.when(good, F.col("n_files")))
         parts[f"{engine}_errors"] = F.count_if(mine & F.col("failed"))
         parts[f"{engine}_batches"] = F.count_if(mine)
-    per_batch = timings.groupBy("file_type", "batch_id").agg(
+    per_batch = timings.groupBy(*batch_key(timings)).agg(
         F.max("n_files").alias("num_files"), *[part.alias(name) for name, part in parts.items()]
     )
     return per_batch.groupBy("file_type").agg(
@@ -130,7 +131,7 @@ def publication(report: DataFrame) -> DataFrame:
 
 
 def _steps(units: DataFrame, checkpoints: Sequence[int]) -> DataFrame:
-    """Units summed between neighbouring checkpoints: ``step`` = first checkpoint reached.
+    """Units summed between neighbouring checkpoints: ``step`` = first checkpoint that ``rn`` reaches.
 
     At most one row per checkpoint, group and engine is left, whatever the number of units.
     """
@@ -149,34 +150,40 @@ def _steps(units: DataFrame, checkpoints: Sequence[int]) -> DataFrame:
 
 
 def _ranked_units(timings: DataFrame) -> DataFrame:
-    needed = timings.select("file_type", "engine", "batch_id", "elapsed_sec", "failed")
-    return rank_rows(needed, ["file_type", "engine"], ["batch_id"], "rn")
+    order = [c for c in batch_key(timings) if c != "file_type"]
+    needed = timings.select("file_type", "engine", *order, "elapsed_sec", "failed")
+    return rank_rows(needed, ["file_type", "engine"], order, "rn")
+
+
+def _units_by_files(timings: DataFrame) -> DataFrame:
+    """``rn``: files of a type up to the end of each unit."""
+    order = [c for c in batch_key(timings) if c != "file_type"]
+    needed = timings.select("file_type", "engine", *order, "n_files", "elapsed_sec", "failed")
+    return running_totals(needed, ["file_type", "engine"], order, {"rn": F.col("n_files")})
 
 
 def speedup_curve(timings: DataFrame, checkpoints: Sequence[int] = CURVE_CHECKPOINTS) -> DataFrame:
-    """Time of the first n units of every type, for each checkpoint and for the largest type.
+    """Time of the first n files of every type, for each checkpoint and for the largest type.
 
-    One row of ``timings`` is one unit. Units are ranked once and summed between checkpoints;
-    the curve is the running sum of those few sums.
+    One row of ``timings`` is one unit of n_files; it counts where its last file is reached. Units
+    are summed between checkpoints; the curve is the running sum of those few sums.
     """
-    everything = Window.partitionBy()
-    sizes = F.max("last_rn").over(everything)
-    cumulative = Window.orderBy("num_files").rowsBetween(Window.unboundedPreceding, 0)
+    steps = _steps(_units_by_files(timings), checkpoints)
+    largest = F.max("last_rn").over(Window.partitionBy())
 
     def engine_sec(engine: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("engine") == engine, F.col("sec"))), F.lit(0.0))
 
-    per_step = (
-        _steps(_ranked_units(timings), checkpoints)
-        .withColumn("num_files", F.coalesce(F.least(F.col("step"), sizes), sizes))
+    marks = F.array_distinct(F.array(*[F.least(F.lit(n).cast("long"), "largest") for n in checkpoints], "largest"))
+    reached = F.filter(marks, lambda n: n >= F.coalesce(F.col("step"), F.col("largest")))
+    return (
+        steps.withColumn("largest", largest)
+        .withColumn("step", F.least("step", "largest"))
+        .withColumn("num_files", F.explode(reached))
         .groupBy("num_files")
-        .agg(engine_sec("baseline").alias("b"), engine_sec("accel").alias("a"))
+        .agg(engine_sec("baseline").alias("baseline_sec"), engine_sec("accel").alias("accel_sec"))
+        .withColumn("speedup_ratio", F.try_divide("baseline_sec", "accel_sec"))
     )
-    return per_step.select(
-        "num_files",
-        F.sum("b").over(cumulative).alias("baseline_sec"),
-        F.sum("a").over(cumulative).alias("accel_sec"),
-    ).withColumn("speedup_ratio", F.try_divide("baseline_sec", "accel_sec"))
 
 
 def totals_at_checkpoints(

@@ -6,13 +6,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetflow.constants import MAX_SAMPLES
 from assetflow.functions import signals as signal_functions
 from assetflow.functions import video as video_functions
 from assetflow.functions.text import decode_text
 from assetflow.operators import batching, content, inventory, isolate, report, video
 from assetflow.plans.catalog import query
 from assetflow.plans.processors import processor_for
+from assetflow.plans.queries_files import with_codec
 from assetflow.shared import broadcast_if_small, new_path, stage
 from assetflow.sources import reports, views
 
@@ -213,18 +213,30 @@ def batch_apply_timed(spark, sf):
     return timed.select("batch_id", "n_files", F.col("elapsed_sec").isNotNull().alias("timed"), "error")
 
 
+def _open_videos(batch: pd.DataFrame) -> None:
+    """Opens the videos of a batch; files of other types need no opening."""
+    if batch["file_type"].iloc[0] == "mp4":
+        _open_all(batch)
+
+
 @query(
     "time_engines",
-    f"""select 'mp4' as file_type, cast(sum(n) as bigint) as num_files, count(*) as baseline_batches,
-               count(*) as accel_batches, cast(0 as bigint) as baseline_errors, count(*) filter (n > good) as accel_errors,
-               cast(sum(n) as bigint) as baseline_ok_files,
-               cast(coalesce(sum(n) filter (n = good), 0) as bigint) as accel_ok_files
-        from (select batch_id, count(*) as n, count(codec) as good from ({_SPOILED_SQL.format(size=8)}) group by batch_id)""",
+    """select file_type, cast(sum(n) as bigint) as num_files, count(*) as baseline_batches,
+              count(*) as accel_batches, cast(0 as bigint) as baseline_errors, count(*) filter (bad) as accel_errors,
+              cast(sum(n) as bigint) as baseline_ok_files,
+              cast(coalesce(sum(n) filter (not bad), 0) as bigint) as accel_ok_files
+       from (select file_type, codec, batch_id, count(*) as n, file_type = 'mp4' and codec is null as bad
+             from (select f.ext as file_type, v.codec,
+                          (row_number() over (partition by f.ext, v.codec order by f.path, f.asset_id) - 1) // 8 as batch_id
+                   from files f left join video_probe v on f.ext = 'mp4' and v.video_id = f.asset_id
+                   where f.ext is not null)
+             group by file_type, codec, batch_id) group by file_type""",
     ("files", "video_probe"),
 )
 def time_engines(spark, sf):
-    batches = _video_batches(spark, sf, 8).withColumn("file_type", F.lit("mp4"))
-    timings = isolate.time_engines(batches, {"baseline": lambda batch: len(batch), "accel": _open_all})
+    found = with_codec(spark, sf).select(F.col("ext").alias("file_type"), "path", "asset_id", "codec")
+    batches = batching.batch_assign(found, ["file_type", "codec"], ["path", "asset_id"], 8)
+    timings = isolate.time_engines(batches, {"baseline": lambda batch: len(batch), "accel": _open_videos})
     return report.bench_by_type(timings).drop("baseline_sec", "accel_sec")
 
 
@@ -322,11 +334,11 @@ def text_batch_stats(spark, sf):
 @query(
     "read_json_doc",
     """select 'props' as kind, event_id as doc_key, props ->> '$.k' as value from events
-       union all select 'turn', conv_id * 1000 + turn, role from conversations""",
+       union all select 'turn', conv_id * 1000 + turn, role from conversations
+       union all select 'text', doc_id, case when json_valid(text) then text ->> '$.k' end from documents""",
 )
 def read_json_doc(spark, sf):
-    docs = views.json_docs(spark, sf).filter(F.col("kind") != "text")
-    parsed = content.parse_json(docs)
+    parsed = content.parse_json(views.json_docs(spark, sf))
     return parsed.select(
         "kind",
         "doc_key",
@@ -414,34 +426,31 @@ def signal_rms(spark, sf):
 
 
 _SHAPE_SQL = """
-    select batch_id, count(*) as num_clips, cast(min(channels) as integer) as min_channels,
-           cast(least(max((len(samples) + channels - 1) // channels), 32) as integer) as max_length
+    select batch_id, count(*) as num_clips, cast(max(channels) as integer) as max_channels,
+           cast(max((len(samples) + channels - 1) // channels) as integer) as max_length
     from signals group by batch_id
 """
 
 
 @query("signal_batch_shape", _SHAPE_SQL, ("signals",))
 def signal_batch_shape(spark, sf):
-    return content.signal_batch_shape(views.signals(spark, sf), 32)
+    return content.signal_batch_shape(views.signals(spark, sf))
 
 
 @query(
     "signal_pad",
-    f"""select s.clip_id, b.min_channels as num_channels, b.max_length as length,
-               round(list_sum(list_transform(
-                 list_filter(s.samples, lambda x, i: (i - 1) % s.channels < b.min_channels
-                                                     and (i - 1) // s.channels < b.max_length),
-                 lambda x: x::double)), 6) as total
+    f"""select s.clip_id, b.max_channels as num_channels, b.max_length as length,
+               round(list_sum(list_transform(s.samples, lambda x: x::double)), 6) as total
         from signals s join ({_SHAPE_SQL}) b on s.batch_id = b.batch_id""",
     ("signals",),
 )
 def signal_pad(spark, sf):
-    padded = content.signal_pad(views.signals(spark, sf), 32)
+    padded = content.signal_pad(views.signals(spark, sf))
     total = F.aggregate(F.flatten("waveform"), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return padded.select(
         "clip_id",
         F.size("waveform").alias("num_channels"),
-        F.size(F.element_at("waveform", 1)).alias("length"),
+        F.array_min(F.transform("waveform", F.size)).alias("length"),
         F.round(total, 6).alias("total"),
     )
 
@@ -460,13 +469,14 @@ def signal_pad(spark, sf):
          wave as (select clip_id, start, bin, sum(x * cos(2 * pi() * bin * j / 16)) as re,
                          sum(x * sin(2 * pi() * bin * j / 16)) as im
                   from (select *, unnest(range(9)) as bin from point) group by clip_id, start, bin)
-       select clip_id, cast(bin as integer) as bin, round(avg(re * re + im * im), 6) as power from wave group by clip_id, bin""",
+       select clip_id, cast(bin as integer) as bin, round(avg(re * re + im * im), 6) as power from wave group by clip_id, bin
+       union all select clip_id, null, null from ch where len(s) <= 8""",
     ("signals",),
 )
 def signal_spectrum(spark, sf):
     # Clips are short here, so the window is too.
     power = signal_functions.spectrum(F.element_at("waveform", 1), 16)
-    bins = views.signals(spark, sf).select("clip_id", F.posexplode(power).alias("bin", "power"))
+    bins = views.signals(spark, sf).select("clip_id", F.posexplode_outer(power).alias("bin", "power"))
     return bins.withColumn("power", F.round("power", 6))
 
 

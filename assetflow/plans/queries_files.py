@@ -197,7 +197,7 @@ def write_by_category(spark, sf):
 )
 def batch_assign(spark, sf):
     return batching.batch_assign(
-        _with_codec(spark, sf).select("path", "asset_id", "ext", "codec"), ["ext", "codec"], ["path", "asset_id"]
+        with_codec(spark, sf).select("path", "asset_id", "ext", "codec"), ["ext", "codec"], ["path", "asset_id"]
     )
 
 
@@ -240,7 +240,7 @@ def first_n_per_type(spark, sf):
 # ------------------------------------------------------------------ joins on files
 
 
-def _with_codec(spark: SparkSession, sf: str) -> DataFrame:
+def with_codec(spark: SparkSession, sf: str) -> DataFrame:
     """Supported files; videos with their codec. Only videos take part in the join."""
     probes = views.view(spark, sf, views.VIDEO_PROBE).select("video_id", "codec")
     videos, others = inventory.split(_supported(spark, sf), F.col("ext") == "mp4")
@@ -255,7 +255,7 @@ def _with_codec(spark: SparkSession, sf: str) -> DataFrame:
     ("files", "video_probe"),
 )
 def join_lookup(spark, sf):
-    return _with_codec(spark, sf).select("path", "asset_id", "ext", "codec")
+    return with_codec(spark, sf).select("path", "asset_id", "ext", "codec")
 
 
 # ------------------------------------------------------------------ sheets

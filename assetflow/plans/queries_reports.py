@@ -177,6 +177,12 @@ _RANKED_SQL = """
 _CHECKPOINTS_SQL = "select unnest([10, 50, 100, 250, 500, 1000, 2000, 5000])"
 
 
+_FILES_SQL = """
+    select *, cast(sum(n_files) over (partition by file_type, engine order by batch_id) as bigint) as files
+    from timings
+"""
+
+
 @query(
     "speedup_curve",
     f"""select num_files, round(b, 6) as baseline_sec, round(a, 6) as accel_sec,
@@ -184,9 +190,9 @@ _CHECKPOINTS_SQL = "select unnest([10, 50, 100, 250, 500, 1000, 2000, 5000])"
           (select c.n as num_files,
                   coalesce(sum(elapsed_sec) filter (engine = 'baseline' and not failed), 0) as b,
                   coalesce(sum(elapsed_sec) filter (engine = 'accel' and not failed), 0) as a
-           from ({_RANKED_SQL}) r join
-             (select n from ({_CHECKPOINTS_SQL} as n) where n <= (select max(rn) from ({_RANKED_SQL}))
-              union select max(rn) from ({_RANKED_SQL})) c on r.rn <= c.n
+           from ({_FILES_SQL}) r join
+             (select n from ({_CHECKPOINTS_SQL} as n) where n <= (select max(files) from ({_FILES_SQL}))
+              union select max(files) from ({_FILES_SQL})) c on r.files <= c.n
            group by c.n)""",
     ("timings",),
 )

@@ -10,7 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -88,11 +87,12 @@ select event_id as batch_id,
 from {events}
 """
 
-# Clips: the first 1 to 64 values of a vector, interleaved over one or two channels.
+# Clips of different lengths: neighbouring vectors of one label joined, interleaved over one or two
+# channels. Every value of every vector is in one clip.
 SIGNALS = """
-select vec_id as clip_id, label as batch_id, <slice>(embedding, 1, 1 + vec_id % 64) as samples,
-       1 + vec_id % 2 as channels
-from {embeddings}
+select clip_id, batch_id, samples, 1 + clip_id % 2 as channels from (
+  select min(vec_id) as clip_id, label as batch_id, <joined> as samples
+  from {embeddings} group by label, vec_id - vec_id % (10 * (1 + label % 4)))
 """
 
 # Results of repairing files, in input order.
@@ -111,8 +111,16 @@ select p_partkey as video_id,
 from {part}
 """
 
-_SPARK = {"<bytes>": "octet_length", "<length>": "cardinality", "<slice>": "slice"}
-_DUCKDB = {"<bytes>": "strlen", "<length>": "len", "<slice>": "list_slice"}
+_SPARK = {
+    "<bytes>": "octet_length",
+    "<length>": "cardinality",
+    "<joined>": "flatten(transform(array_sort(collect_list(struct(vec_id, embedding))), x -> x.embedding))",
+}
+_DUCKDB = {
+    "<bytes>": "strlen",
+    "<length>": "len",
+    "<joined>": "flatten(list(embedding order by vec_id))",
+}
 
 
 def _fill(sql: str, names: dict[str, str]) -> str:
@@ -121,14 +129,8 @@ def _fill(sql: str, names: dict[str, str]) -> str:
     return sql
 
 
-_schemas: dict[str, T.StructType] = {}  # a table's schema is read from its footer once
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, read=table) -> DataFrame:

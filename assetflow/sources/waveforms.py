@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from assetflow.constants import MAX_SAMPLES
 from assetflow.functions.signals import channel_levels
 
 _SCHEMA = "path string, sample_rate int, waveform array<array<float>>, error string"
@@ -68,7 +67,7 @@ def read_waveforms(spark: SparkSession, root: str) -> DataFrame:
     return _clips(spark, root).mapInPandas(_decode_batches, _SCHEMA)
 
 
-def measure_waveforms(spark: SparkSession, root: str, cap: int = MAX_SAMPLES) -> DataFrame:
+def measure_waveforms(spark: SparkSession, root: str, cap: int | None = None) -> DataFrame:
     """Level statistics of the clips below ``root``; no sample leaves the task that read it."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

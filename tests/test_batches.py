@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from assetflow.operators import batching, content, inventory, isolate, report
 from assetflow.plans.processors import processor_for
+from assetflow.sources import views
 
 
 def files(spark, sizes):
@@ -87,9 +88,38 @@ def test_padding_to_the_batch(spark):
     clips = [(1, 1, [[1.0], [2.0]]), (2, 1, [[1.0, 2.0, 3.0]]), (3, 2, [[5.0]])]
     df = spark.createDataFrame(clips, "clip_id long, batch_id long, waveform array<array<float>>")
     got = {r.clip_id: r.waveform for r in content.signal_pad(df).collect()}
-    assert got == {1: [[1.0, 0.0, 0.0]], 2: [[1.0, 2.0, 3.0]], 3: [[5.0]]}
-    assert {r.clip_id: r.waveform for r in content.signal_pad(df, 2).collect()}[2] == [[1.0, 2.0]]
+    assert got == {
+        1: [[1.0, 0.0, 0.0], [2.0, 0.0, 0.0]],
+        2: [[1.0, 2.0, 3.0], [0.0, 0.0, 0.0]],
+        3: [[5.0]],
+    }
+
+
+def test_every_sample_of_the_vectors_is_measured(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    there = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
+    n = F.aggregate(F.transform("waveform", F.size), F.lit(0), lambda a, x: a + x)
+    clips = views.signals(spark, sf_dir)
+    assert clips.agg(F.sum(n)).first()[0] == there
+    assert clips.select(n).distinct().count() > 1
 
 
 def test_empty_group_size(spark):
     assert inventory.max_group_size(spark.range(0).selectExpr("id as g"), "g").first()[0] == 0
+
+
+def test_batches_of_different_codecs_stay_apart(spark):
+    rows = [("mp4", codec, f"{codec}/{i:02}") for codec in ("h264", "hevc") for i in range(10)]
+    found = spark.createDataFrame(rows, "file_type string, codec string, path string")
+    batches = batching.batch_assign(found, ["file_type", "codec"], ["path"], 5)
+    timings = isolate.time_engines(batches, {"baseline": len, "accel": len})
+    assert sorted(r.n_files for r in timings.collect()) == [5] * 8
+    row = report.bench_by_type(timings).first()
+    assert (row.num_files, row.baseline_batches, row.accel_ok_files) == (20, 4, 20)
+
+
+def test_curve_counts_files(spark):
+    rows = [("txt", i, e, 30, 1.0, False) for i in range(4) for e in ("baseline", "accel")]
+    timings = spark.createDataFrame(rows, "file_type string, batch_id long, engine string, n_files long, elapsed_sec double, failed boolean")
+    curve = {r.num_files: r.baseline_sec for r in report.speedup_curve(timings, (10, 50, 90, 100)).collect()}
+    assert curve == {50: 1.0, 90: 3.0, 100: 3.0, 120: 4.0}

@@ -128,15 +128,15 @@ def test_levels_in_one_pass(spark):
     clips = [(rng.normal(size=(c, n)).tolist(),) for c, n in ((1, 1), (2, 50), (3, 7), (1, 300))]
     df = spark.createDataFrame([*clips, ([],), ([[]],), (None,)], "w array<array<float>>")
     w = F.col("w")
-    for cap in (signals.MAX_SAMPLES, 5):
-        singles = F.struct(signals.mean_abs(w), signals.l2_norm(w, cap), signals.rms(w, cap))
+    for cap in (None, 5):
+        singles = F.struct(signals.mean_abs(w, cap), signals.l2_norm(w, cap), signals.rms(w, cap))
         for one, many in df.select(signals.levels(w, cap), F.when(w.isNotNull(), singles)).collect():
             assert (one is None and many is None) or tuple(one) == pytest.approx(tuple(many))
 
 
 def test_pad(spark):
-    got = values(spark, [(CLIP, 1, 5), (CLIP, 2, 2)], "w array<array<float>>, c int, n int", signals.pad(F.col("w"), F.col("c"), F.col("n")))
-    assert got == [[[0.5, -1.0, 2.0, 0.0, 0.0]], [[0.5, -1.0], [1.0, 0.0]]]
+    got = values(spark, [(CLIP, 3, 5), (CLIP, 2, 3)], "w array<array<float>>, c int, n int", signals.pad(F.col("w"), F.col("c"), F.col("n")))
+    assert got == [[[0.5, -1.0, 2.0, 0.0, 0.0], [1.0, 0.0, -3.0, 0.0, 0.0], [0.0] * 5], CLIP]
 
 
 def test_spectrum_against_a_plain_transform(spark):
