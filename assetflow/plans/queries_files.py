@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from assetflow.functions import paths
 from assetflow.operators import batching, inventory, naming, organize
 from assetflow.plans.catalog import query
 from assetflow.plans.jobs import organize_collection
-from assetflow.shared import broadcast_if_small, new_path
+from assetflow.shared import new_path, stage
 from assetflow.sources import files as file_sources
 from assetflow.sources import sheets as sheet_sources
 from assetflow.sources import views
@@ -291,11 +293,23 @@ def _sheet_summary(sheets: DataFrame) -> DataFrame:
     )
 
 
-@query("read_sheets", _SHEETS_SQL, ("sheets",))
+@query(
+    "read_sheets",
+    f"""select *, cast(null as bigint) as note_chars from ({_SHEETS_SQL})
+        union all select 'notes', count(*), null, null, count(*), cast(sum(length(text)) as bigint) from documents""",
+    ("sheets",),
+)
 def read_sheets(spark, sf):
-    read = sheet_sources.read_sheets(spark, [(root, None) for root in _land_sheets(spark, sf)])
+    # Texts are cells with quotes, commas and line breaks.
+    notes = new_path(spark, "notes")
+    texts = views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("note"))
+    texts.write.option("escape", '"').csv(f"{notes}/source_id=notes", header=True)
+    layouts = [(root, None) for root in _land_sheets(spark, sf)]
+    read = sheet_sources.read_sheets(spark, [*layouts, (notes, "doc_id long, note string")])
     source = F.regexp_extract("source_id", "/source_id=([^/]*)/", 1)
-    return _sheet_summary(read.withColumn("source_id", source))
+    rows = read.withColumn("source_id", source)
+    chars = rows.groupBy("source_id").agg(F.sum(F.length("note")).alias("note_chars"))
+    return _sheet_summary(rows).join(chars, "source_id")
 
 
 @query("union_ragged", _SHEETS_SQL, ("sheets",))
@@ -352,53 +366,82 @@ def nonempty_frames(spark, sf):
 
 _CACHED_FIRST = "source_id < 'G'"  # the sheets that are in the cache beforehand
 
+# Regions are listed as sources too, with a sheet that has a header only.
+_LISTED_SQL = """
+    select source_id, count(*) as num_rows from sheets group by source_id
+    union all select r_name, 0 from region
+"""
 
-def _half_cached(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
-    sheets, cache = _sheets(spark, sf), new_path(spark, "cache")
-    sheet_sources.cache_incremental(sheets.filter(_CACHED_FIRST), cache)
-    return sheets, cache
+
+def _half_cached(spark: SparkSession, sf: str) -> tuple[DataFrame, str, sheet_sources.Reader]:
+    """(listing of the landed sheets, cache with a part of them, how sheets are read)."""
+    roots = _land_sheets(spark, sf)
+    empty = views.table(spark, sf, "region").select(F.col("r_name").alias("source_id"))
+    header = ",".join(c for c in views.sheet_layouts(spark, sf)[0].columns if c != "source_id")
+    empty_root = new_path(spark, "sheets")
+    empty.select(F.lit(header).alias("value"), "source_id").write.partitionBy("source_id").text(empty_root)
+    layouts = [
+        (layout.select("source_id").distinct(), root)
+        for layout, root in zip([*views.sheet_layouts(spark, sf), empty], [*roots, empty_root], strict=True)
+    ]
+    listing = reduce(DataFrame.union, [ids.withColumn("root", F.lit(root)) for ids, root in layouts])
+    listing = stage(listing, "listing")
+
+    def read(ids: list[str]) -> DataFrame:
+        wanted = listing.where(F.col("source_id").isin(ids)).collect()
+        folders: dict[str, list[str]] = {}
+        for row in wanted:
+            folders.setdefault(row["root"], []).append(f"{row['root']}/source_id={row['source_id']}")
+        first = folders.pop(empty_root, []) + folders.pop(roots[0], [])
+        rows = sheet_sources.read_sheets(spark, [(f, None) for f in ([first] if first else [])] + [(f, None) for f in folders.values()])
+        return rows.withColumn("source_id", F.regexp_extract("source_id", "/source_id=([^/]*)/", 1))
+
+    cache = new_path(spark, "cache")
+    sheet_sources.cache_incremental(listing.filter(_CACHED_FIRST), read, cache)
+    return listing, cache, read
 
 
 @query(
     "cache_incremental",
-    """select source_id, count(*) as num_rows, source_id >= 'G' as added,
-              (select count(distinct source_id) from sheets where source_id >= 'G') as converted
-       from sheets group by source_id""",
+    f"""select source_id, num_rows, source_id >= 'G' as added,
+               (select count(*) from ({_LISTED_SQL}) where source_id >= 'G') as converted
+        from ({_LISTED_SQL})""",
     ("sheets",),
 )
 def cache_incremental(spark, sf):
-    sheets, cache = _half_cached(spark, sf)
+    listing, cache, read = _half_cached(spark, sf)
     before = sheet_sources.cache_manifest(spark, cache).select("source_id", F.lit(True).alias("_known"))
-    converted = sheet_sources.cache_incremental(sheets, cache)
+    before = stage(before, "before")
+    converted = sheet_sources.cache_incremental(listing, read, cache)
     cached = sheet_sources.read_cached(spark, cache).groupBy("source_id").agg(F.count("*").alias("num_rows"))
     return (
-        cached.join(before, "source_id", "left")
+        sheet_sources.cache_manifest(spark, cache)
+        .select("source_id")
+        .join(cached, "source_id", "left")
+        .fillna(0, subset=["num_rows"])
+        .join(before, "source_id", "left")
         .withColumn("added", F.col("_known").isNull())
         .withColumn("converted", F.lit(converted).cast("long"))
         .drop("_known")
     )
 
 
-@query(
-    "cache_require",
-    "select distinct source_id from sheets where source_id >= 'G'",
-    ("sheets",),
-)
+@query("cache_require", f"select source_id from ({_LISTED_SQL}) where source_id >= 'G'", ("sheets",))
 def cache_require(spark, sf):
-    sheets, cache = _half_cached(spark, sf)
+    listing, cache, _ = _half_cached(spark, sf)
     manifest = sheet_sources.cache_manifest(spark, cache)
     # What is cached passes the check, which raises otherwise.
-    sheet_sources.cache_require(sheets.filter(_CACHED_FIRST), manifest)
-    return sheet_sources.not_cached(sheets, manifest)
+    sheet_sources.cache_require(listing.filter(_CACHED_FIRST), manifest)
+    return sheet_sources.not_cached(listing, manifest)
 
 
 @query(
     "join_anti_cache",
-    "select source_id, count(*) as num_rows from sheets where source_id >= 'G' group by source_id",
+    f"select source_id, num_rows from ({_LISTED_SQL}) where source_id >= 'G' and num_rows > 0",
     ("sheets",),
 )
 def join_anti_cache(spark, sf):
-    sheets, cache = _half_cached(spark, sf)
-    manifest = sheet_sources.cache_manifest(spark, cache).select("source_id")
-    todo = sheets.join(broadcast_if_small(manifest), "source_id", "left_anti")
-    return todo.groupBy("source_id").agg(F.count("*").alias("num_rows"))
+    listing, cache, read = _half_cached(spark, sf)
+    todo = sheet_sources.not_cached(listing, sheet_sources.cache_manifest(spark, cache))
+    rows = read([row["source_id"] for row in todo.collect()])
+    return rows.groupBy("source_id").agg(F.count("*").alias("num_rows"))

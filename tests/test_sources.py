@@ -129,18 +129,54 @@ def test_sheets_with_different_columns(spark, tmp_path):
     ]
 
 
+def test_cells_with_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('x,y\n"say ""hi"", ok","two\nlines"\n3,plain\n')
+    got = sheets.read_sheets(spark, [(str(tmp_path), "x string, y string")]).collect()
+    assert sorted((r.x, r.y) for r in got) == [("3", "plain"), ('say "hi", ok', "two\nlines")]
+
+
+def test_another_order_of_columns_is_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "2.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        sheets.read_sheets(spark, [(str(tmp_path), "x int, y int")]).collect()
+
+
 def test_cache(spark, tmp_path):
     cache = str(tmp_path / "cache")
-    sheet = spark.createDataFrame([("/p/s", 1), ("/p/s", 2), ("/q/s", 3)], "source_id string, v int")
-    with pytest.raises(RuntimeError, match="^2 source"):
-        sheets.cache_require(sheet, sheets.cache_manifest(spark, cache))
-    assert sheets.cache_incremental(sheet.filter("source_id = '/p/s'"), cache) == 1
-    assert sheets.cache_incremental(sheet, cache) == 1
-    assert sheets.cache_incremental(sheet, cache) == 0
-    sheets.cache_require(sheet, sheets.cache_manifest(spark, cache))
+    listing = spark.createDataFrame([("/p/s",), ("/q/s",), ("/q/empty",)], "source_id string")
+    opened = []
+
+    def read(ids):
+        opened.append(sorted(ids))
+        kind = "int" if ids == ["/p/s"] else "double"  # as inferred from what is there
+        rows = spark.createDataFrame([("/p/s", 1), ("/p/s", 2), ("/q/s", 3)], "source_id string, v int")
+        return rows.where(F.col("source_id").isin(ids)).withColumn("v", F.col("v").cast(kind))
+
+    with pytest.raises(RuntimeError, match="^3 source"):
+        sheets.cache_require(listing, sheets.cache_manifest(spark, cache))
+    assert sheets.cache_incremental(listing.filter("source_id = '/p/s'"), read, cache) == 1
+    assert sheets.cache_incremental(listing, read, cache) == 2
+    assert sheets.cache_incremental(listing, read, cache) == 0
+    assert opened == [["/p/s"], ["/q/empty", "/q/s"]]
+    manifest = sheets.cache_manifest(spark, cache)
+    sheets.cache_require(listing, manifest)
+    assert {r.source_id: r.num_rows for r in manifest.collect()} == {"/p/s": 2, "/q/s": 1, "/q/empty": 0}
     # A run that stopped before its manifest entry leaves rows nobody reads.
-    sheet.write.parquet(f"{cache}/data/run_id=stopped")
-    assert sorted(r.v for r in sheets.read_cached(spark, cache).collect()) == [1, 2, 3]
+    read(["/p/s"]).write.parquet(f"{cache}/data/run_id=stopped")
+    assert sorted(r.v for r in sheets.read_cached(spark, cache).collect()) == [1.0, 2.0, 3.0]
+
+
+def test_cache_takes_sources_in_portions(spark, tmp_path):
+    listing = spark.createDataFrame([(f"s{i}",) for i in range(5)], "source_id string")
+    sizes = []
+
+    def read(ids):
+        sizes.append(len(ids))
+        return listing.where(F.col("source_id").isin(ids)).withColumn("v", F.lit(1))
+
+    assert sheets.cache_incremental(listing, read, str(tmp_path / "c"), at_once=2) == 5
+    assert sizes == [2, 2, 1]
 
 
 def test_report_csv_keeps_missing_ratios(spark, tmp_path):
