@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,15 +37,35 @@ def decode_text(content: Column) -> Column:
     return _unix_lines(F.when(valid, text).otherwise(repaired))
 
 
+def _finite(number: str) -> float | None:
+    value = float(number)
+    return value if math.isfinite(value) else None
+
+
+def _load(text: str):
+    """The document; numbers that no double holds become null, as NaN and Infinity do."""
+    return json.loads(text, parse_constant=lambda _: None, parse_float=_finite)
+
+
 def _canonical(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return json.dumps(json.loads(text, parse_constant=lambda _: None))
+        return json.dumps(_load(text))
     except (ValueError, RecursionError):
         return None
 
 
+def _loads(text: str | None) -> bool:
+    if text is None:
+        return False
+    try:
+        _load(text)
+        return True
+    except (ValueError, RecursionError):
+        return False
+
+
 @F.pandas_udf(T.StringType())
 def _canonical_json(text: pd.Series) -> pd.Series:
     return text.map(_canonical)
@@ -52,7 +73,7 @@ def _canonical_json(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def _parses(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _canonical(t) is not None)
+    return text.map(_loads)
 
 
 def _maybe_json(text: Column) -> Column:

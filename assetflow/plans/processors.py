@@ -54,4 +54,4 @@ def processor_for(ext: str) -> Processor:
     try:
         return PROCESSORS[ext]
     except KeyError:
-        raise ValueError(f"Unsupported extension: {ext}") from None
+        raise ValueError(f"no processor is registered for files of type {ext!r}") from None

@@ -83,8 +83,8 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df`` has no more than ``rows`` rows; each partition sends on its count only."""
+    return df.count() <= rows
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

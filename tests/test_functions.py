@@ -102,6 +102,12 @@ def test_json_validity_and_values(spark):
     assert json.loads(got[2].c) == [1, 2]
 
 
+def test_numbers_beyond_a_double_are_null(spark):
+    df = spark.createDataFrame([('{"k": 1e400}',)], "t string")
+    valid, canonical = df.select(text.is_json(F.col("t")), text.canonical_json(F.col("t"))).first()
+    assert valid and json.loads(canonical) == {"k": None}
+
+
 CLIP = [[0.5, -1.0, 2.0], [1.0, 0.0, -3.0]]
 
 
