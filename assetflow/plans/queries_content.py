@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import wave
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +15,7 @@ from assetflow.functions import signals as signal_functions
 from assetflow.functions import video as video_functions
 from assetflow.functions.text import decode_text
 from assetflow.operators import batching, content, inventory, isolate, report, video
+from assetflow.plans import pipeline
 from assetflow.plans.catalog import query
 from assetflow.plans.processors import processor_for
 from assetflow.plans.queries_files import with_codec
@@ -511,3 +517,88 @@ def processor_registry(spark, sf):
         )
         result = row if result is None else result.unionByName(row)
     return result
+
+
+# ------------------------------------------------------------------ the whole run
+
+# A file of each row: texts, turns (some cut short), clips, customers as one-row sheets, probes.
+_RUN_SQL = """
+    select 'txt' as file_type, '/in/' || lpad(cast(doc_id as varchar), 12, '0') || '.txt' as path, null as codec,
+           'ok' as verdict, false as broken from documents
+    union all select 'json', '/in/' || lpad(cast(conv_id * 1000 + turn as varchar), 15, '0') || '.json', null, 'ok',
+           (conv_id * 1000 + turn) % 97 = 0 from conversations
+    union all select 'wav', '/in/' || lpad(cast(vec_id as varchar), 12, '0') || '.wav', null, 'ok', vec_id % 89 = 0 from embeddings
+    union all select 'xlsx', '/in/' || lpad(cast(c_custkey as varchar), 12, '0') || '.xlsx', null, 'ok', false from customer
+    union all select 'mp4', '/in/' || lpad(cast(video_id as varchar), 12, '0') || '.mp4', codec, verdict, false from judged
+"""
+
+
+def _wav_bytes(batches):
+    """A vector as a 16-bit clip; some are cut within the header."""
+    for batch in batches:
+        contents = []
+        for number, vector in zip(batch["vec_id"], batch["embedding"]):
+            buffer = io.BytesIO()
+            with wave.open(buffer, "wb") as clip:
+                clip.setnchannels(1)
+                clip.setsampwidth(2)
+                clip.setframerate(8000)
+                samples = np.clip(np.asarray(vector, "f8"), -1, 1) * 32767
+                clip.writeframes(samples.astype("<i2").tobytes())
+            whole = buffer.getvalue()
+            contents.append(whole[:20] if number % 89 == 0 else whole)
+        yield pd.DataFrame({"vec_id": batch["vec_id"], "content": contents})
+
+
+def _run_files(spark: SparkSession, sf: str) -> DataFrame:
+    def files(ext: str, number, content, width=12, codec=None, verdict=None):
+        path = F.concat(F.lit("/in/"), F.lpad(number.cast("string"), width, "0"), F.lit(f".{ext}"))
+        return [
+            F.lit(ext).alias("file_type"),
+            path.alias("path"),
+            (F.lit(None) if codec is None else codec).cast("string").alias("codec"),
+            (F.lit("ok") if verdict is None else verdict).alias("verdict"),
+            content.cast("binary").alias("content"),
+        ]
+
+    texts = views.table(spark, sf, "documents").select(*files("txt", F.col("doc_id"), F.col("text")))
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    doc = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    cut = F.when(key % 97 == 0, F.lit('{"conv_id":')).otherwise(doc)
+    turns = views.table(spark, sf, "conversations").select(*files("json", key, cut, 15))
+    clips = views.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(
+        _wav_bytes, "vec_id long, content binary"
+    )
+    waves = clips.select(*files("wav", F.col("vec_id"), F.col("content")))
+    line = F.concat(F.lit("key,name\n"), F.col("c_custkey").cast("string"), F.lit(","), "c_name", F.lit("\n"))
+    sheets = views.table(spark, sf, "customer").select(*files("xlsx", F.col("c_custkey"), line))
+    probe = F.to_json(F.struct("codec", "nb_frames"))
+    probes = video.judge(views.view(spark, sf, views.VIDEO_PROBE))
+    videos = probes.select(*files("mp4", F.col("video_id"), probe, codec=F.col("codec"), verdict=F.col("verdict")))
+    return reduce(DataFrame.unionByName, [texts, turns, waves, sheets, videos])
+
+
+@query(
+    "pipeline_report",
+    f"""with run as ({_RUN_SQL}),
+        batches as (
+          select file_type, ok, codec, batch_id, count(*) as n, count(*) filter (broken) > 0 as bad from (
+            select *, (row_number() over (partition by file_type, ok, codec order by path) - 1) // 200 as batch_id from (
+              select file_type, path, broken, verdict = 'ok' as ok, case when verdict = 'ok' then codec end as codec from run))
+          group by file_type, ok, codec, batch_id)
+        select file_type, cast(sum(n) as bigint) as num_files, count(*) filter (bad) as baseline_errors,
+               count(*) filter (bad and ok) as accel_errors,
+               cast(coalesce(sum(n) filter (not ok), 0) as bigint) as accel_excluded,
+               cast(coalesce(sum(n) filter (bad), 0) + coalesce(sum(n) filter (bad and ok), 0) as bigint) as logged
+        from batches group by file_type""",
+    ("judged",),
+)
+def pipeline_report(spark, sf):
+    log = new_path(spark, "failures")
+    measured = pipeline.measure_collection(_run_files(spark, sf), log)
+    logged = reports.read_failure_log(spark, log).groupBy("file_type").agg(F.count("*").alias("logged"))
+    return (
+        measured.select("file_type", "num_files", "baseline_errors", "accel_errors", "accel_excluded")
+        .join(logged, "file_type", "left")
+        .fillna(0, subset=["logged"])
+    )

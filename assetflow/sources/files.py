@@ -41,3 +41,9 @@ def read_text_whole(spark: SparkSession, root: str) -> DataFrame:
     """Each file below ``root`` as one text: path, text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", decode_text(F.col("content")).alias("text"))
+
+
+def read_contents(spark: SparkSession, root: str) -> DataFrame:
+    """Each file below ``root`` as bytes: path, content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "content")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetflow.operators import organize
 from assetflow.operators.inventory import classify
+from assetflow.plans import pipeline
 from assetflow.plans.jobs import organize_collection
 from assetflow.sources import files, reports, sheets, waveforms
 
@@ -242,3 +243,30 @@ def test_read_waveforms(spark, tmp_path):
     for row in measured.values():
         energy = 1 + 0.25 + 0.0625
         assert (row.mean_abs, row.l2, row.rms) == pytest.approx((1.75 / 4, energy**0.5, (energy / 4) ** 0.5))
+
+
+def test_the_whole_run(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.wav").write_bytes(wav_bytes([0, 1000, -1000], 2, 1))
+    (root / "b.txt").write_text("some text")
+    (root / "c.json").write_text('{"k": 1}')
+    (root / "bad.json").write_text('{"k": ')
+    (root / "d.xlsx").write_text("x,y\n1,2\n")
+    (root / "v.mp4").write_text('{"codec": "h264"}')
+    (root / "w.mp4").write_text('{"codec": null}')
+    probe = "path string, codec string, r_frame_rate string, avg_frame_rate string, nb_frames string"
+    probes = spark.createDataFrame([(f"file:{root}/v.mp4", "h264", "25/1", "25/1", "100")], probe)
+    out, log, csv_path = (str(tmp_path / n) for n in ("out", "log", "report"))
+    for run in ("one", "two"):
+        measured, copies = pipeline.run_pipeline(spark, str(root), out, probes, csv_path, log, run, size=1)
+        rows = {r.file_type: r for r in measured.collect()}
+        assert {t: r.num_files for t, r in rows.items()} == {"txt": 1, "json": 2, "wav": 1, "xlsx": 1, "mp4": 2}
+        assert (rows["json"].baseline_errors, rows["json"].accel_errors) == (1, 1)
+        assert (rows["mp4"].accel_excluded, rows["mp4"].accel_errors) == (1, 0)
+        assert len(copies.collect()) == (7 if run == "one" else 0)
+    logged = reports.read_failure_log(spark, log).collect()
+    assert sorted((r.run_id, r.engine, r.path.split("/")[-1]) for r in logged) == [
+        (run, engine, "bad.json") for run in ("one", "two") for engine in ("accel", "baseline")
+    ]
+    assert reports.read_report_csv(spark, csv_path).count() == 5
