@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -39,30 +40,81 @@ def organize_plan(
     )
 
 
-def _locate(uri: str) -> tuple[fs.FileSystem, str]:
-    # Spark writes local paths as file:/x, Arrow wants file:///x or /x.
-    return fs.FileSystem.from_uri(uri[5:] if uri.startswith("file:/") else uri)
+# Stores where a file appears only when it is complete, and where a move would be a second copy.
+_OBJECT_STORES = {"s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "az", "abfss": "az"}
 
 
-def _copy_one(src: str, dst: str) -> tuple[int, str | None]:
+def split_uri(uri: str) -> tuple[str, str, str]:
+    """(kind of store, bucket or host, path in it) of a file as Spark lists it.
+
+    The path is taken as it stands: names may hold spaces, ``%`` and ``#``. For object stores it
+    begins with the bucket or container.
+    """
+    scheme, found, rest = uri.partition("://")
+    if not found:
+        return "file", "", uri.removeprefix("file:")
+    if scheme == "file":
+        return "file", "", "/" + rest.lstrip("/")
+    authority, _, key = rest.partition("/")
+    kind = _OBJECT_STORES.get(scheme, scheme)
+    if kind == "az":  # container@account.host
+        container, _, host = authority.partition("@")
+        return kind, host.partition(".")[0], f"{container}/{key}"
+    if kind in ("s3", "gs"):
+        return kind, "", f"{authority}/{key}"
+    return kind, authority, f"/{key}"
+
+
+def _open_store(kind: str, authority: str) -> fs.FileSystem:
+    if kind == "file":
+        return fs.LocalFileSystem()
+    if kind == "s3":
+        return fs.S3FileSystem()
+    if kind == "gs":
+        return fs.GcsFileSystem()
+    if kind == "az":
+        return fs.AzureFileSystem(authority)
+    host = f"{kind}://{authority}" if authority else "default"
+    return fs.HadoopFileSystem.from_uri(host) if authority else fs.HadoopFileSystem(host)
+
+
+def _locate(uri: str, stores: dict) -> tuple[fs.FileSystem, str, bool]:
+    """(store, path, whether it is an object store); a task opens each store once."""
+    kind, authority, path = split_uri(uri)
+    if (kind, authority) not in stores:
+        stores[kind, authority] = _open_store(kind, authority)
+    return stores[kind, authority], path, kind in _OBJECT_STORES.values()
+
+
+def _copy_one(src: str, dst: str, stores: dict) -> tuple[int, str | None]:
+    partial = target = None
     try:
-        source, src_path = _locate(src)
-        target, dst_path = _locate(dst)
+        source, src_path, _ = _locate(src, stores)
+        target, dst_path, at_once = _locate(dst, stores)
         info = source.get_file_info(src_path)
-        target.create_dir(os.path.dirname(dst_path), recursive=True)
-        partial = f"{dst_path}.{uuid.uuid4().hex}.part"
+        if at_once:
+            fs.copy_files(src_path, dst_path, source_filesystem=source, destination_filesystem=target)
+            return info.size, None
+        folder, name = os.path.split(dst_path)
+        target.create_dir(folder, recursive=True)
+        # Hidden from listings, should the task be killed before it can clean up.
+        partial = f"{folder}/_{name}.{uuid.uuid4().hex}.part"
         fs.copy_files(src_path, partial, source_filesystem=source, destination_filesystem=target)
         if isinstance(target, fs.LocalFileSystem) and info.mtime_ns is not None:
             os.utime(partial, ns=(info.mtime_ns, info.mtime_ns))
         target.move(partial, dst_path)
         return info.size, None
     except Exception as exc:  # kept per file: one bad file must not stop the others
+        if partial is not None:
+            with contextlib.suppress(OSError):
+                target.delete_file(partial)
         return 0, f"{type(exc).__name__}: {exc}"
 
 
 def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    stores: dict = {}
     for pdf in batches:
-        results = [_copy_one(s, d) for s, d in zip(pdf["src"], pdf["dst"])]
+        results = [_copy_one(s, d, stores) for s, d in zip(pdf["src"], pdf["dst"])]
         yield pd.DataFrame(
             {
                 "src": pdf["src"],

@@ -16,12 +16,15 @@ _PLANNED = "_planned"  # below the destination; the leading underscore keeps it
 def organize_collection(spark: SparkSession, root: str, destination: str) -> DataFrame:
     """Copy every supported file below ``root`` into category folders; a row per copied file.
 
+    A destination below ``root`` is left out of the scan, so copies are not copied again.
+
     The plan is kept with the destination and written before anything is copied. A later run plans
     only new files, around all names in use, and copies what is planned and not there yet: new
     files, and those an interrupted or failed run left out.
     """
     target = qualified_path(spark, destination)
-    found = inventory.classify(file_sources.scan_files(spark, root)).withColumn(
+    listed = file_sources.scan_files(spark, root).where(~F.startswith("path", F.lit(f"{target}/")))
+    found = inventory.classify(listed).withColumn(
         "asset_id", F.lit(0).cast("long")  # a scan lists each path once
     )
     done, present = None, None

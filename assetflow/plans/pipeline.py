@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from assetflow.constants import BATCH_SIZE
 from assetflow.operators import batching, inventory, isolate, report, video
 from assetflow.plans.jobs import organize_collection
-from assetflow.shared import stage
+from assetflow.shared import qualified_path, stage
 from assetflow.sources import files as file_sources
 from assetflow.sources import reports
 
@@ -157,7 +157,9 @@ def run_pipeline(
     ``probes`` has path and the probe columns of videos; a video without a probe cannot be opened.
     The report goes to CSV at ``report_path``. Run again, nothing is copied twice.
     """
-    found = inventory.supported(inventory.classify(file_sources.scan_files(spark, root)))
+    listed = file_sources.scan_files(spark, root)
+    own = F.lit(f"{qualified_path(spark, destination)}/")
+    found = inventory.supported(inventory.classify(listed.where(~F.startswith("path", own))))
     contents = file_sources.read_contents(spark, root)
     files = found.join(contents, "path").withColumnRenamed("ext", "file_type")
     if probes is None:

@@ -97,6 +97,33 @@ def test_organize_again(spark, tree, tmp_path):
     assert stored_files(out) == first | {"text/a_3.txt": b"new"}
 
 
+def test_paths_in_stores():
+    assert organize.split_uri("file:/a b/c%20d#e") == ("file", "", "/a b/c%20d#e")
+    assert organize.split_uri("file:///a/b") == ("file", "", "/a/b")
+    assert organize.split_uri("/a/b") == ("file", "", "/a/b")
+    assert organize.split_uri("s3a://bucket/a key/x.txt") == ("s3", "", "bucket/a key/x.txt")
+    assert organize.split_uri("gs://bucket/k") == ("gs", "", "bucket/k")
+    assert organize.split_uri("abfss://box@acc.dfs.core/k 1") == ("az", "acc", "box/k 1")
+    assert organize.split_uri("hdfs://host:8020/a b") == ("hdfs", "host:8020", "/a b")
+
+
+def test_a_failed_copy_leaves_nothing(tmp_path):
+    (tmp_path / "src").write_bytes(b"x")
+    (tmp_path / "dst").mkdir()  # a folder where the file should go
+    (tmp_path / "dst/full").write_bytes(b"y")
+    size, error = organize._copy_one(f"file:{tmp_path}/src", f"file:{tmp_path}/dst", {})
+    assert size == 0 and error
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["dst", "src"]
+
+
+def test_a_destination_below_the_root_is_not_copied_again(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"1")
+    out = tmp_path / "out"
+    assert len(organize_collection(spark, str(tmp_path), str(out)).collect()) == 1
+    assert organize_collection(spark, str(tmp_path), str(out)).collect() == []
+    assert set(stored_files(out)) == {"text/a.txt"}
+
+
 def test_copy_failure_stays_with_its_file(spark, tree, tmp_path):
     plan = spark.createDataFrame(
         [(f"file:{tree}/b.mp4", f"{tmp_path}/o/b.mp4"), (f"file:{tree}/gone.mp4", f"{tmp_path}/o/gone.mp4")],
