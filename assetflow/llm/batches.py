@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -18,11 +19,11 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def pieces(texts: list[bytes | None], limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of ``texts`` of about ``limit`` bytes each."""
+def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of a column of texts of about ``limit`` bytes each."""
     first, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text) if text else 0
+    for i, length in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        size += length
         if size >= limit:
             yield first, i + 1
             first, size = i + 1, 0
@@ -52,9 +53,9 @@ def map_pieces(
     def run(stream):
         function = make()
         for batch in stream:
-            texts = utf8(batch.column(at))
+            texts = batch.column(at)
             for lo, hi in pieces(texts, limit):
-                made = function(texts[lo:hi])
+                made = function(utf8(texts.slice(lo, hi - lo)))
                 columns = [batch.column(i).slice(lo, hi - lo) for i in others]
                 columns += [
                     c if isinstance(c, pa.Array) else pa.array(c, type=t)
@@ -74,9 +75,9 @@ def filter_pieces(
     def run(stream):
         function = make()
         for batch in stream:
-            texts = utf8(batch.column(at))
+            texts = batch.column(at)
             for lo, hi in pieces(texts):
-                mask = pa.array(function(texts[lo:hi]), type=pa.bool_())
+                mask = pa.array(function(utf8(texts.slice(lo, hi - lo))), type=pa.bool_())
                 yield batch.slice(lo, hi - lo).filter(mask)
 
     return df.mapInArrow(run, df.schema)

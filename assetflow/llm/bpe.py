@@ -28,8 +28,8 @@ from assetflow.llm.batches import map_pieces
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 # Text whose distinct words go into one trie, and pairs of tokens that a task remembers.
-PIECE_BYTES = 4 << 20
-REMEMBERED_PAIRS = 500_000
+PIECE_BYTES = 2 << 20
+REMEMBERED_PAIRS = 200_000
 
 _NOTHING = 1 << 20  # stands before the first token; no token has this id
 _END = "</w>"
@@ -65,9 +65,12 @@ class Vocabulary:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._words = regex.compile(pattern + "|\n")
         self._letters = {b: c for b, c in enumerate(byte_letters()) if b not in (10, 32)}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {(a, b): r for r, (a, b) in enumerate(pairs)}
-        self.parts = {a + b: (a, b) for a, b in pairs}
+        # The strings and pairs of both tables are the same objects.
+        one = {t: t for t in self.ids}
+        split = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        pairs = [(one.get(a, a), one.get(b, b)) for a, b in split]
+        self.rank = {pair: r for r, pair in enumerate(pairs)}
+        self.parts = {one.get(a + b, a + b): pair for pair in pairs for a, b in [pair]}
         self._right: dict[str, list[tuple[str, float]]] = {}
         self._left: dict[str, list[tuple[str, float]]] = {}
         self._alone: dict[str, bool] = {}

@@ -153,11 +153,13 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     def run(stream):
         hasher = Hasher()
         for batch in stream:
-            left, right = utf8(batch.column(2)), utf8(batch.column(3))
+            left, right = batch.column(2), batch.column(3)
             linked = []
             for lo, hi in pieces(left):
                 for x, y in zip(
-                    shingle_sets(hasher, left[lo:hi]), shingle_sets(hasher, right[lo:hi]), strict=True
+                    shingle_sets(hasher, utf8(left.slice(lo, hi - lo))),
+                    shingle_sets(hasher, utf8(right.slice(lo, hi - lo))),
+                    strict=True,
                 ):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     linked.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -310,9 +312,10 @@ def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
     def run(stream):
         hasher = Hasher()
         for batch in stream:
-            texts = utf8(batch.column(at))
+            texts = batch.column(at)
             for lo, hi in pieces(texts):
-                fps = [fingerprint(s) for s in shingle_sets(hasher, texts[lo:hi])]
+                sets = shingle_sets(hasher, utf8(texts.slice(lo, hi - lo)))
+                fps = [fingerprint(s) for s in sets]
                 columns = [c.slice(lo, hi - lo) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(fps, pa.binary())], names=names)
 
