@@ -67,10 +67,12 @@ def time_engines(batches: DataFrame, engines: dict[str, BatchFunction]) -> DataF
 def isolate_bad(
     batches: DataFrame, keys: Sequence[str], id_columns: Sequence[str], fn: BatchFunction
 ) -> DataFrame:
-    """Find the files on which ``fn`` fails: id columns, ok, error; one row per input row.
+    """Find the files on which ``fn`` fails: id columns, ok, error, good_sec; one row per input row.
 
-    ``fn`` runs on a whole batch; only a failing batch is halved until single files fail. For a
-    function that works row by row, give single-file batches or use a column expression.
+    ``fn`` runs on a whole batch; only a failing batch is halved until single files fail. Then it
+    runs once more on the good files of the batch together: ``good_sec`` is the time of that, null
+    if there are none or they fail together. For a function that works row by row, give single-file
+    batches or use a column expression.
     """
     fields = ", ".join(f"{c} {batches.schema[c].dataType.simpleString()}" for c in id_columns)
 
@@ -88,9 +90,17 @@ def isolate_bad(
             else:
                 mid = (lo + hi) // 2
                 pending += [(lo, mid), (mid, hi)]
-        return pdf[list(id_columns)].assign(ok=[e is None for e in errors], error=errors)
+        fine = [e is None for e in errors]
+        good_sec = None
+        if any(fine):
+            start = time.perf_counter()
+            if _error(fn, pdf[fine]) is None:
+                good_sec = time.perf_counter() - start
+        return pdf[list(id_columns)].assign(ok=fine, error=errors, good_sec=good_sec)
 
-    return spread(batches, *keys).groupBy(*keys).applyInPandas(run, f"{fields}, ok boolean, error string")
+    return spread(batches, *keys).groupBy(*keys).applyInPandas(
+        run, f"{fields}, ok boolean, error string, good_sec double"
+    )
 
 
 def bad_only(isolated: DataFrame) -> DataFrame:

@@ -248,14 +248,16 @@ def time_engines(spark, sf):
 
 @query(
     "isolate_bad",
-    """select v.video_id as asset_id, f.path, v.codec is not null as ok,
-              case when v.codec is null then '1 of 1 videos cannot be opened' end as error
-       from files f join video_probe v on f.ext = 'mp4' and v.video_id = f.asset_id""",
+    f"""select asset_id, path, codec is not null as ok,
+              case when codec is null then '1 of 1 videos cannot be opened' end as error,
+              count(codec) over (partition by batch_id) > 0 as good_files_timed
+       from ({_SPOILED_SQL.format(size=50)})""",
     ("files", "video_probe"),
 )
 def isolate_bad(spark, sf):
     batches = _video_batches(spark, sf, 50)
-    return isolate.isolate_bad(batches, ["batch_id"], ["asset_id", "path"], _open_all)
+    found = isolate.isolate_bad(batches, ["batch_id"], ["asset_id", "path"], _open_all)
+    return found.withColumn("good_files_timed", F.col("good_sec").isNotNull()).drop("good_sec")
 
 
 @query(
