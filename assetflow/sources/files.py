@@ -5,6 +5,9 @@ Spark leaves out files and folders whose names start with ``.`` or ``_``.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +29,19 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_by_glob(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Files directly in ``root`` that match ``pattern``, ordered by path."""
-    files = (
+    """Files directly in ``root`` that match ``pattern``, ordered by path; only ``root`` is listed."""
+    reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")  # else folders like day=1 are taken for columns
         .option("pathGlobFilter", pattern)
-        .load(root)
     )
+    folder = re.sub(r"([\\*?\[\]{}])", r"\\\1", root.rstrip("/"))
+    try:
+        files = reader.load(f"{folder}/{pattern}")
+    except AnalysisException as nothing:
+        if nothing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, size_bytes long, modified_at timestamp")
     parent = F.regexp_replace("path", "/[^/]*$", "")
     return _listing(files).filter(parent == qualified_path(spark, root)).orderBy("path")
 

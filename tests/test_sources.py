@@ -51,6 +51,7 @@ def test_scan_files(spark, tree):
 def test_scan_by_glob(spark, tree):
     found = files.scan_by_glob(spark, str(tree), "*.mp4").collect()
     assert [r.path for r in found] == [f"file:{tree}/b.mp4", f"file:{tree}/c.mp4"]
+    assert files.scan_by_glob(spark, str(tree), "*.nothing").collect() == []
 
 
 def test_read_text_whole(spark, tree):
