@@ -8,9 +8,9 @@ before any text is moved.
 
 No bucket is turned into all its pairs. First each class is compared with one class of each of its
 buckets, drawn by hash, and the closest is confirmed. Then only classes of one bucket that are
-still in different components are compared, outsiders with the others of the bucket; the closest
-of each outsider is confirmed first, and then what is still between different components. A link
-inside a component changes nothing, so the components are those of all candidate pairs.
+still in different components are compared, outsiders with the others of the bucket, each pair in
+the first band it shares. A link inside a component changes nothing, so the components are those of
+all candidate pairs.
 """
 
 from __future__ import annotations
@@ -200,9 +200,9 @@ def _first_candidates(classes: DataFrame, buckets: DataFrame, percent: int) -> D
 
 
 def _outside_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that may be similar, each once, with ``bits``.
+    """Pairs of one bucket in different components that may be similar, each once.
 
-    ``a`` is outside the bucket's largest component; so is ``b`` only if it is less than ``a``.
+    One of a pair is outside the bucket's largest component.
     """
     crowded = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     labelled = (
@@ -235,21 +235,13 @@ def _outside_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, pe
         right.alias("y"), (F.col("x.band") == F.col("y.band")) & different & _may_link(percent)
     )
     return (
-        found.select(F.col("x.band").alias("band"), "a", "b", "a_bands", "b_bands", "a_sketch", "b_sketch")
+        found.select(F.col("x.band").alias("band"), "a", "b", "a_bands", "b_bands")
         .where(here)
-        .select("a", "b", _different_bits("a_sketch", "b_sketch").alias("bits"))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
 
 
-def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose components are not the same."""
-    for side in ("a", "b"):
-        label = labels.select(F.col("node").alias("_node"), F.col("label").alias(f"{side}_now"))
-        pairs = pairs.join(label, F.col(side) == F.col("_node"), "left").drop("_node")
-    return pairs.where(~F.coalesce("a_now", "a").eqNullSafe(F.coalesce("b_now", "b"))).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``fp``, ``component_id`` and ``kept`` for each row of ``docs``.
 
@@ -275,16 +267,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = stage(_first_candidates(classes, buckets, percent), "candidates")
     links = stage(_confirmed(docs, classes, first, percent), "links")
     labels = components(links)
-    outside = stage(_outside_pairs(classes, buckets, labels, percent), "candidates")
+    outside = _outside_pairs(classes, buckets, labels, percent)
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    outside = stage(outside.join(tried, ["a", "b"], "left_anti"), "candidates")
     if not outside.isEmpty():
-        closest = stage(_closest(outside).join(first, ["a", "b"], "left_anti"), "candidates")
-        links = stage(links.union(_confirmed(docs, classes, closest, percent)), "links")
-        labels = components(links)
-        tried = first.union(closest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        rest = _still_apart(outside, labels).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
-        if not rest.isEmpty():
-            labels = components(links.union(_confirmed(docs, classes, rest, percent)))
+        more = stage(_confirmed(docs, classes, outside, percent), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
     labelled = classes.select("fp", "least_id").join(labels, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("label", "fp").alias("label")
     )
