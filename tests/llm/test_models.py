@@ -188,6 +188,51 @@ def test_gibbs_agrees_with_the_exact_distribution_of_tables():
         assert (tables.tables == n).mean() == pytest.approx(weight / total, abs=0.03)
 
 
+def mean_tables(customers, theta, discount, parent):
+    """Exact mean number of tables of one dish alone in a restaurant."""
+    t = np.arange(min(customers, 1000) + 2)
+    weight = (t == 1).astype(float)  # of all seatings of the customers so far at t tables
+    opening = (theta + discount * t) * parent
+    for n in range(1, customers):
+        joined, opened = weight * np.maximum(n - discount * t, 0), weight * opening
+        weight = joined + np.concatenate([[0], opened[:-1]])
+        weight /= weight.sum()
+    return (weight * t).sum()
+
+
+@pytest.mark.parametrize("customers, theta, discount, parent", [(2, 1, 0.9, 0.01), (4, 1, 0.5, 0.3), (60, 5, 0.7, 0.9), (60, 40, 0.7, 0.2), (300, 400, 0.3, 0.05)])
+def test_a_sweep_reseats_every_customer(customers, theta, discount, parent):
+    rng = np.random.default_rng(4)
+    tables = langmodel._Tables(np.ones(3000, np.int64), np.full(3000, customers))
+    opening, rise = np.full(3000, theta * parent), np.full(3000, discount * parent)
+    counts = []
+    for sweep in range(30):
+        tables.reseat(opening, rise, discount, rng)
+        assert (tables.customers == customers).all() and (tables._by_dish(tables.size) == customers).all()
+        assert (tables.size > 0).all()
+        if sweep >= 24:
+            counts.append(tables.tables.mean())
+    assert np.mean(counts) == pytest.approx(mean_tables(customers, theta, discount, parent), rel=0.02)
+
+
+def test_frequent_pairs_get_the_tables_of_the_process():
+    """A dish of 10,000 customers after the sweeps that a run has; one move a sweep made nine at most."""
+    rng = np.random.default_rng(4)
+    tables = langmodel._Tables(np.ones(100, np.int64), np.full(100, 10_000))
+    for _ in range(langmodel.ROUNDS * langmodel.SWEEPS):
+        tables.reseat(np.full(100, 70.0), np.zeros(100), 0.7, rng)
+    assert tables.tables.mean() == pytest.approx(mean_tables(10_000, 70e9, 0.7, 1e-9), rel=0.1)
+
+
+def test_taken_and_seated_customers_add_up():
+    rng = np.random.default_rng(8)
+    tables = langmodel._Tables(np.array([3, 1, 2]), np.array([5, 1, 4, 7, 2, 2]))
+    tables.take(np.array([9, 0, 3]), rng)
+    assert tables.customers.tolist() == [1, 7, 1] == tables._by_dish(tables.size).tolist()
+    tables.grow(np.array([0, 40, 2]), np.full(3, 2.0), np.full(3, 0.1), 0.5, rng)
+    assert tables.customers.tolist() == [1, 47, 3] == tables._by_dish(tables.size).tolist()
+
+
 # Urls
 
 
