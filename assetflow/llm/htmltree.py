@@ -50,6 +50,8 @@ _ENDS = {
     "th": ("td th", ("tr", "table")),
     "option": ("option", ("select",)),
 }
+# What a head may hold; any other start tag ends an open head.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 TAGS = tuple(
     "article main section div p h1 h2 h3 h4 h5 h6 nav header footer aside form ul ol li dl dt dd table tr td "
     "th blockquote pre figure figcaption body html head a b span button select label address "
@@ -121,7 +123,14 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
                 return None
         return None
 
+    def end_head():
+        # Not from inside of its template or noscript, which hold what they like.
+        if elements[stack[-1]].tag == "head":
+            close(len(stack) - 1)
+
     def take(text: str):
+        if text.strip():
+            end_head()
         if elements[stack[-1]].tag in NEVER_TEXT or any(elements[i].tag in NEVER_TEXT for i in stack):
             return
         run.append(text)
@@ -148,6 +157,8 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
         if tag == "br":
             run.append(" ")
             continue
+        if tag not in _IN_HEAD:
+            end_head()
         if tag in ("html", "body") and any(e.tag == tag for e in elements[1:] or elements):
             continue
         if tag in _CLOSES_P:

@@ -354,3 +354,13 @@ def test_broken_markup():
     assert [t for _, t in blocks] == ["1", "2", "3", "4", "5"]
     _, blocks = htmltree.parse("<p>a<b>b<p>c</b>d&amp;e &#233;&nbsp;f<br>g")
     assert [t for _, t in blocks] == ["ab", "cd&e é f g"]
+
+
+@pytest.mark.parametrize("body", ["<body><p>a<p>b</body>", "<p>a<p>b", "<div>a</div><div>b</div>", "</script>a<p>b", "<body>a<br>b"])
+def test_a_head_without_its_end_tag(body):
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><style>p{}</style><noscript><img src=x>n</noscript>\n<template><p>t</p></template><script>var t</script>\n"
+    elements, blocks = htmltree.parse(head + body)
+    assert " ".join(t for _, t in blocks) == "a b"
+    closed, same = htmltree.parse(head + "</head>" + body)
+    assert [t for _, t in same] == [t for _, t in blocks] and [e.tag for e in closed] == [e.tag for e in elements]
+    assert [e.depth for e in closed] == [e.depth for e in elements]
