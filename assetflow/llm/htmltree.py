@@ -25,6 +25,10 @@ from assetflow.llm.optimize import minimize
 
 # Bound of the fit: pages, those with the least hashes of page_id.
 TRAIN_PAGES = 150
+# With fewer pages that label themselves, the fit also takes pages labelled by class words and
+# at least so many made-up ones in old layouts, so that a table of plain pages is judged by more than nothing.
+LEAST_PAGES = 20
+MADE_PAGES = 200
 ITERATIONS = 150
 REGULARIZATION = 2e-5
 
@@ -318,11 +322,29 @@ def labels_of(elements: list[Element]) -> list[bool] | None:
             break
     else:
         return None
+    return _inside(elements, own[0])
+
+
+def labels_by_words(elements: list[Element]) -> list[bool] | None:
+    """As ``labels_of`` with the only outermost element whose class, id or role names content and
+    nothing else; null when there are none or several."""
+    under, own = [], []
+    for i, e in enumerate(elements):
+        cues = {_CUE_OF.get(n) for n in e.names} - {None}
+        hit = cues == {"content"} and e.tag in BLOCKS and e.tag not in ("html", "body") and e.tag not in _OUTSIDE
+        above = e.parent >= 0 and under[e.parent]
+        if hit and not above:
+            own.append(i)
+        under.append(hit or above)
+    return _inside(elements, own[0]) if len(own) == 1 else None
+
+
+def _inside(elements: list[Element], root: int) -> list[bool]:
     inside: list[bool] = []
     for i, e in enumerate(elements):
         cues = {_CUE_OF.get(n) for n in e.names}
         out = e.tag in _OUTSIDE or cues & {"advert", "comment", "notice", "share", "side", "menu"}
-        inside.append(i == own[0] or (e.parent >= 0 and inside[e.parent] and not out))
+        inside.append(i == root or (e.parent >= 0 and inside[e.parent] and not out))
     return inside
 
 
@@ -393,29 +415,93 @@ def variants(elements: list[Element], labels: list[bool], rng: random.Random) ->
     return full + [thinned(tree, marks) for tree, marks in full]
 
 
+def made_pages(count: int, rng: random.Random) -> list[tuple[list[Element], list[bool]]]:
+    """Labelled pages in layouts of plain div and table elements, without a class word or a
+    sectioning element, whose text is in paragraphs or right in the layout's element."""
+
+    def words(lo: int, hi: int) -> str:
+        return " ".join(["word"] * rng.randint(lo, hi))
+
+    def links(lo: int, hi: int, around: str = "") -> str:
+        made = [f"<a>{words(1, 6)}</a>" for _ in range(rng.randint(lo, hi))]
+        return "".join(f"<{around}>{m}</{around}>" for m in made) if around else rng.choice([" | ", "<br>"]).join(made)
+
+    def menu() -> str:
+        return rng.choice([links(2, 8), f"<ul>{links(2, 8, 'li')}</ul>", f"<p>{links(2, 8)}</p>", f"<h3>{words(1, 3)}</h3>{links(3, 9, 'p')}"])
+
+    def text() -> str:
+        some = [words(8, 120) + rng.choice(["", "", f" <a>{words(1, 3)}</a> " + words(2, 9)]) for _ in range(rng.randint(1, 8))]
+        more = rng.choice(["", "", f"<ul><li>{words(3, 15)}<li>{words(3, 15)}</ul>", f"<blockquote><p>{words(8, 40)}</p></blockquote>"])
+        title = rng.choice(["", "", f"<h1>{words(2, 9)}</h1>", f"<h2>{words(2, 9)}</h2>"])
+        kind = rng.choice(["p", "p", "div", ""])
+        return title + ("".join(f"<{kind}>{t}</{kind}>" for t in some) if kind else "<br><br>".join(some)) + more
+
+    def page() -> tuple[str, str]:
+        foot = rng.choice([words(3, 9), words(2, 5) + " " + links(1, 3), links(2, 5), f"{words(1, 12)} <a>{words(1, 1)}</a>"])
+        if rng.random() < 0.3:  # all of it right in the body
+            if rng.random() < 0.5:
+                return "html", text()
+            menus = [rng.choice(["", f"<nav>{m}</nav>"]) for m in (menu(), foot)]
+            return "body", f"<article>{menus[0]}{text()}{menus[1]}</article>"
+        if rng.random() < 0.5:
+            around = "<div>", "</div>"
+            shape = "div", f"<div>{words(1, 4)}</div><div>{menu()}</div>%s<div>{menu()}</div><div>{foot}</div>"
+        else:
+            around = "", ""
+            shape = "td", f"<table><tr><td>{menu()}</td>%s<td>{menu()}</td></tr></table><p>{foot}</p>"
+        if rng.random() < 0.3:
+            shape = shape[0], shape[1].replace(f"<div>{words(1, 4)}</div>", "", 1)
+        wrapped = shape[1] % f"<article>{text()}</article>"
+        return shape[0], "<body>" + (around[0] + wrapped + around[1] if rng.random() < 0.5 else wrapped)
+
+    out = []
+    for _ in range(count):
+        tag, html = page()
+        elements, _ = parse(html)
+        labels = labels_of(elements) or [True] * len(elements)
+        for e in elements:
+            e.tag = {"article": tag, "nav": "div"}.get(e.tag, e.tag)
+        out.append((elements, labels))
+    return out
+
+
 def train(pages: DataFrame) -> np.ndarray:
-    """Weights from a bounded sample of the pages that label themselves; zeros without any, with
-    which no element is content."""
-    sample = (
-        pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-        .select("page_id", F.xxhash64("page_id").alias("h"))
-        .orderBy("h", "page_id")
-        .limit(TRAIN_PAGES)
-        .select("page_id")
-        .distinct()
-    )
-    chosen = pages.select("page_id", "html").join(F.broadcast(sample), "page_id").dropDuplicates(["page_id"])
-    rows = chosen.orderBy("page_id").collect()
+    """Weights from a bounded sample of the pages that label themselves; with few of them also from
+    pages labelled by class words and from made-up ones."""
+
+    def sample(of: DataFrame):
+        least = (
+            of.select("page_id", F.xxhash64("page_id").alias("h"))
+            .orderBy("h", "page_id")
+            .limit(TRAIN_PAGES)
+            .select("page_id")
+            .distinct()
+        )
+        chosen = pages.select("page_id", "html").join(F.broadcast(least), "page_id").dropDuplicates(["page_id"])
+        return chosen.orderBy("page_id").collect()
+
     trees, labels = [], []
     rng = random.Random(11)
-    for row in rows:
-        elements, _ = parse(row["html"])
-        own = labels_of(elements)
-        if own is not None:
-            for tree, marks in variants(elements, own, rng):
-                trees.append(tree)
-                labels.append(marks)
-    return fit(trees, labels) if trees else np.zeros(N_WEIGHTS)
+
+    def learn(rows, labelled) -> int:
+        found = 0
+        for row in rows:
+            elements, _ = parse(row["html"])
+            own = labelled(elements)
+            if own is not None:
+                found += 1
+                for tree, marks in variants(elements, own, rng):
+                    trees.append(tree)
+                    labels.append(marks)
+        return found
+
+    if learn(sample(pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))), labels_of) < LEAST_PAGES:
+        others = sample(pages.where("html is not null"))
+        learn(others, lambda elements: None if labels_of(elements) else labels_by_words(elements))
+        for elements, own in made_pages(max(MADE_PAGES, len(trees)), rng):
+            trees.append(elements)
+            labels.append(own)
+    return fit(trees, labels)
 
 
 def extract_texts(weights: np.ndarray, pages: list[str]) -> list[tuple[str, list[tuple[str, float]]]]:

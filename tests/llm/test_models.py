@@ -364,3 +364,31 @@ def test_a_head_without_its_end_tag(body):
     closed, same = htmltree.parse(head + "</head>" + body)
     assert [t for _, t in same] == [t for _, t in blocks] and [e.tag for e in closed] == [e.tag for e in elements]
     assert [e.depth for e in closed] == [e.depth for e in elements]
+
+
+def layouts(n):
+    """Pages without article or main elements, their words in capitals are the main text."""
+    rng = random.Random(n)
+
+    def prose(words):
+        return " ".join(rng.choice("RIVER STONE HOUSE GREEN LETTER SUMMER".split()) for _ in range(words))
+
+    menu = "<ul><li><a href=/>home</a></li><li><a href=/n>news</a></li><li><a href=/c>contact us</a></li></ul>"
+    body = f"<h1>{prose(4)}</h1><p>{prose(50)}</p><p>{prose(70)}</p><p>{prose(60)}</p>"
+    return [
+        f"<html><head><title>T</title></head><body><div>{menu}</div><div>{body}</div><div>all rights <a href=/l>legal</a></div></body></html>",
+        f"<html><body><table><tr><td><a href=/>home</a><br><a href=/n>news</a></td><td>{body}</td></tr></table></body></html>",
+        f"<html><body><div id=nav>{menu}</div><div id=content>{body}</div><div class=footer>all rights</div></body></html>",
+        f"<html><body><div>{menu}</div><div>{prose(80)}<br><br>{prose(90)}</div></body></html>",
+        f"<p>{prose(60)}<p>{prose(40)}",
+    ]
+
+
+@pytest.mark.parametrize("kinds", [(0, 1, 2, 3, 4), (0,), (1,), (2,)])
+def test_pages_that_do_not_label_themselves_keep_their_text(spark, kinds):
+    rows = [(10 * n + k, layouts(n)[k]) for n in range(12) for k in kinds]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    found = {r.page_id: r.text for r in htmltree.extract(pages, htmltree.train(pages)).collect()}
+    for page, html in rows:
+        expected = [t for _, t in htmltree.parse(html)[1] if t.isupper()]
+        assert found[page].split("\n") == expected, page
