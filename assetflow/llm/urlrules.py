@@ -26,7 +26,6 @@ RULES = (
 MIN_SUPPORT = 0.001
 MIN_URLS = 25
 MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 4
 BAD_LABEL = "toxic = 1 or quality = 0"
 _BAD = "=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,16 +93,14 @@ def mine(
         return spark.createDataFrame([], empty)
     support = min(1.0, max(min_support, MIN_URLS / total))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = (
-        model.associationRules.where(F.col("consequent")[0] == _BAD)
-        .where(F.size("antecedent") <= MAX_TOKENS)
-        .select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
+    rules = model.associationRules.where(F.col("consequent")[0] == _BAD).select(
+        F.array_sort("antecedent").alias("rule"), "confidence", "support"
     )
     rules = stage(rules, "rules")
-    # A rule goes when one of its subsets, found by any of its tokens, is as sure.
+    # A rule goes when one of its subsets, found by its first token, is as sure.
     by_token = rules.select(F.explode("rule").alias("token"), "rule", "confidence")
-    part = by_token.select(
-        "token", F.col("rule").alias("part"), F.col("confidence").alias("part_confidence")
+    part = rules.select(
+        F.col("rule")[0].alias("token"), F.col("rule").alias("part"), F.col("confidence").alias("part_confidence")
     )
     beaten = (
         by_token.join(part, "token")

@@ -278,6 +278,17 @@ def test_mined_rules_by_brute_force(spark):
     assert rules == {("label:shop", "path:win")} or rules == {("host:shop.example.io", "path:win")}
 
 
+def test_a_rule_may_need_five_tokens(spark):
+    """Any four of the five are as often good as bad."""
+    tokens = ["path:a", "path:b", "query:c", "query:d", "query:e"]
+    sets = [(tokens, True)] + [([t for t in tokens if t != left], False) for left in tokens]
+    labelled = spark.createDataFrame([s for s in sets for _ in range(30)], "tokens array<string>, bad boolean")
+    rules = urlrules.mine(labelled).collect()
+    assert [(r.rule, r.confidence) for r in rules] == [(tokens, 1.0)]
+    seen = spark.createDataFrame([(tokens + ["path:z"],), (tokens[:4],)], "tokens array<string>")
+    assert [r.tokens for r in urlrules.match(seen, urlrules.mine(labelled)).collect()] == [tokens + ["path:z"]]
+
+
 def test_few_labels_give_no_rule(spark):
     pages = spark.createDataFrame([(i, "https://a.io/x") for i in range(10)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0, 1) for i in range(10)], "doc_id long, quality int, toxic int")
