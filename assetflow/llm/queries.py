@@ -5,6 +5,7 @@ from __future__ import annotations
 from assetflow.llm import (
     bpe,
     decontam,
+    hardneg,
     htmltree,
     langmodel,
     neardup,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_main_text": htmltree.op8_main_text,
     "op9_bpe": bpe.op9_bpe,
     "op10_repetition": quality.op10_repetition,
+    "op11_hard_negatives": hardneg.op11_hard_negatives,
 }
 
 ORACLES = {
     "op3_archive": warc.sql(),
     "op7_decontaminate": decontam.sql(),
     "op10_repetition": quality.sql(),
+    "op11_hard_negatives": hardneg.sql(),
 }
