@@ -11,6 +11,7 @@ from assetflow.llm import (
     neardup,
     quality,
     sharding,
+    tokenfiles,
     toxicity,
     urlrules,
     warc,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_repetition": quality.op10_repetition,
     "op11_hard_negatives": hardneg.op11_hard_negatives,
+    "op12_token_files": tokenfiles.op12_token_files,
 }
 
 ORACLES = {
