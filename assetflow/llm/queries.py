@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assetflow.llm import (
+    alignment,
     bpe,
     decontam,
     hardneg,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_repetition": quality.op10_repetition,
     "op11_hard_negatives": hardneg.op11_hard_negatives,
     "op12_token_files": tokenfiles.op12_token_files,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES = {

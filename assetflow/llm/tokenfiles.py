@@ -15,7 +15,6 @@ import json
 import math
 import os
 import uuid
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,14 +28,14 @@ from pyspark.sql import functions as F
 
 from assetflow.llm.batches import pieces
 from assetflow.llm.bpe import load
+from assetflow.llm.wordcache import Remembered
 from assetflow.operators.organize import split_uri
 from assetflow.shared import new_path
 
 # Text of a part; a part is written by one task, in a stream.
 PART_BYTES = 64 << 20
-# Text encoded at once, and what a task remembers of words it has encoded.
+# Text encoded at once.
 PIECE_BYTES = 8 << 20
-REMEMBERED_WORDS, REMEMBERED_CHARS = 500_000, 16 << 20
 # Documents that are read as one row of work.
 READ_DOCUMENTS = 20_000
 READ_BYTES = 8 << 20
@@ -63,11 +62,7 @@ class Encoder:
             spec[unused] = None
         self._tokenizer = Tokenizer.from_str(json.dumps(spec))
         self.by_words = drops_space(spec)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._rows: dict[str, int] = {}
-        self._ids, self._ends, self._chars = array("I"), array("q", [0]), 0
+        self._words = Remembered(self._encode)
 
     def _encode(self, texts: list[str]) -> Iterator[list[int]]:
         for i in range(0, len(texts), 20_000):
@@ -75,19 +70,6 @@ class Encoder:
             for encoded in self._tokenizer.encode_batch_fast(some, add_special_tokens=False):
                 yield encoded.ids
 
-    def _rows_of(self, words: list[str]) -> np.ndarray:
-        """Where the ids of each word are kept."""
-        if len(self._rows) > REMEMBERED_WORDS or self._chars > REMEMBERED_CHARS:
-            self._forget()
-        rows, ids, ends = self._rows, self._ids, self._ends
-        unseen = [w for w in words if w not in rows]
-        for word, found in zip(unseen, self._encode(unseen), strict=True):
-            rows[word] = len(ends) - 1
-            ids.extend(found)
-            ends.append(len(ids))
-            self._chars += len(word)
-        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, ids of all texts); null is an empty text."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -99,14 +81,10 @@ class Encoder:
         else:
             lists = pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts)
         words = lists.flatten().dictionary_encode()
-        rows = self._rows_of(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        ids, ends = np.frombuffer(self._ids, np.uint32), np.frombuffer(self._ends, np.int64)
-        starts, sizes = ends[rows], ends[rows + 1] - ends[rows]
-        after = np.cumsum(sizes)
-        places = np.repeat(starts - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)
-        ends_of_texts = np.cumsum(lists.value_lengths().to_numpy())
-        per_text = np.diff(np.r_[0, np.r_[0, after][ends_of_texts]])
-        return per_text, ids[places]
+        rows = self._words.rows_of(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        sizes, ids = self._words.ids_of(rows)
+        words_before = np.cumsum(lists.value_lengths().to_numpy())
+        return np.diff(np.r_[0, np.cumsum(np.r_[0, sizes])[words_before]]), ids
 
 
 def drops_space(spec: dict) -> bool:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assetflow.llm import bpe, tokenfiles
+from assetflow.llm import bpe, tokenfiles, wordcache
 
 WORDS = "word_bpe_49k.json"
 
@@ -97,7 +97,7 @@ def test_a_second_writing_gives_the_same_files(spark, tmp_path, edge_dir):
 
 @pytest.mark.parametrize("name", [WORDS, "byte_bpe_50k.json"])
 def test_words_are_encoded_as_in_their_text(documents, monkeypatch, name):
-    monkeypatch.setattr(tokenfiles, "REMEMBERED_WORDS", 50)
+    monkeypatch.setattr(wordcache, "REMEMBERED_WORDS", 50)
     encoder = tokenfiles.Encoder(bpe.load(public_tokenizers.path(name)))
     assert encoder.by_words == (name == WORDS)
     texts = [t or "" for _, t in documents]
