@@ -46,7 +46,8 @@ def stream_error_rate(spark, sf):
 )
 def stream_sessions(spark, sf):
     events = jobs.table_arrivals(spark, sf, "events").select("ts", "user_id")
-    rows = jobs.run_available(events, jobs.sessions("user_id"))
+    kind = events.schema["user_id"].dataType.simpleString()
+    rows = jobs.run_available(events, jobs.sessions("user_id", key_type=kind))
     # To the second, whatever the session's time zone.
     return rows.withColumns(
         {c: F.substring(F.col(c).cast("string"), 1, 19) for c in ("session_start", "session_end")}

@@ -64,6 +64,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder that holds few."""
+    file_system, hadoop_path = _file_system(spark, path)
+    return [f.getPath().getName() for f in file_system.listStatus(hadoop_path)]
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     file_system, hadoop_path = _file_system(spark, path)
     return file_system.getFileStatus(hadoop_path).isDirectory()
