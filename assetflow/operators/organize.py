@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from assetflow.operators.naming import unique_names
 from assetflow.shared import spread, stage
+from assetflow.sources.stores import locate, split_uri  # noqa: F401  (split_uri is used from here, too)
 
 _COPIED = "src string, dst string, size_bytes long, ok boolean, error string"
 
@@ -40,57 +41,11 @@ def organize_plan(
     )
 
 
-# Stores where a file appears only when it is complete, and where a move would be a second copy.
-_OBJECT_STORES = {"s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "az", "abfss": "az"}
-
-
-def split_uri(uri: str) -> tuple[str, str, str]:
-    """(kind of store, bucket or host, path in it) of a file as Spark lists it.
-
-    The path is taken as it stands: names may hold spaces, ``%`` and ``#``. For object stores it
-    begins with the bucket or container.
-    """
-    scheme, found, rest = uri.partition("://")
-    if not found:
-        return "file", "", uri.removeprefix("file:")
-    if scheme == "file":
-        return "file", "", "/" + rest.lstrip("/")
-    authority, _, key = rest.partition("/")
-    kind = _OBJECT_STORES.get(scheme, scheme)
-    if kind == "az":  # container@account.host
-        container, _, host = authority.partition("@")
-        return kind, host.partition(".")[0], f"{container}/{key}"
-    if kind in ("s3", "gs"):
-        return kind, "", f"{authority}/{key}"
-    return kind, authority, f"/{key}"
-
-
-def _open_store(kind: str, authority: str) -> fs.FileSystem:
-    if kind == "file":
-        return fs.LocalFileSystem()
-    if kind == "s3":
-        return fs.S3FileSystem()
-    if kind == "gs":
-        return fs.GcsFileSystem()
-    if kind == "az":
-        return fs.AzureFileSystem(authority)
-    host = f"{kind}://{authority}" if authority else "default"
-    return fs.HadoopFileSystem.from_uri(host) if authority else fs.HadoopFileSystem(host)
-
-
-def _locate(uri: str, stores: dict) -> tuple[fs.FileSystem, str, bool]:
-    """(store, path, whether it is an object store); a task opens each store once."""
-    kind, authority, path = split_uri(uri)
-    if (kind, authority) not in stores:
-        stores[kind, authority] = _open_store(kind, authority)
-    return stores[kind, authority], path, kind in _OBJECT_STORES.values()
-
-
 def _copy_one(src: str, dst: str, stores: dict) -> tuple[int, str | None]:
     partial = target = None
     try:
-        source, src_path, _ = _locate(src, stores)
-        target, dst_path, at_once = _locate(dst, stores)
+        source, src_path, _ = locate(src, stores)
+        target, dst_path, at_once = locate(dst, stores)
         info = source.get_file_info(src_path)
         if at_once:
             fs.copy_files(src_path, dst_path, source_filesystem=source, destination_filesystem=target)

@@ -44,8 +44,50 @@ def test_scan_files(spark, tree):
         "notes.bin": 1,
         "day=1/d.mp4": 1,
     }
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan
+
+@pytest.mark.parametrize("at_once", [1, 7, 20_000])
+def test_a_listing_in_rounds_is_that_of_spark(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(files, "ENTRIES_AT_ONCE", at_once)
+    root = tmp_path / "tree"
+    for i in range(40):
+        folder = root / f"d{i % 5}" / f"e {i % 7}#" / "/".join("abcd"[: i % 5])
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f{i}%20.txt").write_bytes(b"x" * i)
+    for name in ("_hidden", ".git", "_x=1", "day=2"):
+        (root / name).mkdir()
+        (root / name / "g.txt").write_bytes(b"y")
+        (root / "d1" / f"{name}.txt").write_bytes(b"z")
+    (root / "empty" / "below").mkdir(parents=True)
+    (root / "t._COPYING_").write_bytes(b"")
+    (root / "link.txt").symlink_to(root / "d0" / "_x=1.txt")
+    (root / "other").symlink_to(root / "d1")
+    found = files.scan_files(spark, str(root))
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
+    expected = by_spark.select("path", "length", "modificationTime").collect()
+    assert len(expected) > 40
+    listed = {*map(tuple, found.collect())}
+    # Spark reads no rows from empty files; a listing has them.
+    assert {r for r in listed if r[1]} == {*map(tuple, expected)}
+    assert [r[0].rsplit("/", 1)[1] for r in listed if not r[1]] == ["f0%20.txt"]
+
+
+def test_links_to_folders_above_are_not_followed(spark, tmp_path):
+    below = tmp_path / "a" / "b"
+    below.mkdir(parents=True)
+    (below / "f.txt").write_bytes(b"1")
+    (below / "up").symlink_to(tmp_path / "a")
+    (below / "here").symlink_to(below)
+    found = files.scan_files(spark, str(tmp_path))
+    assert [r.path for r in found.collect()] == [f"file:{below}/f.txt"]
+
+
+def test_listings_of_little(spark, tmp_path):
+    assert files.scan_files(spark, str(tmp_path)).collect() == []
+    (tmp_path / "one.txt").write_bytes(b"12")
+    found = files.scan_files(spark, f"{tmp_path}/one.txt").collect()
+    assert [(r.path, r.size_bytes) for r in found] == [(f"file:{tmp_path}/one.txt", 2)]
+    with pytest.raises(FileNotFoundError):
+        files.scan_files(spark, f"{tmp_path}/nothing")
 
 
 def test_scan_by_glob(spark, tree):
