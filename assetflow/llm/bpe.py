@@ -10,13 +10,12 @@ leaf by the lengths of last tokens.
 
 from __future__ import annotations
 
-import gc
 import json
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -25,14 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetflow.llm.batches import map_pieces
+from assetflow.llm.wordcache import Remembered
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-# Text whose distinct words go into one trie, and pairs of tokens that a task remembers.
+# Text whose new words go into one trie, and pairs of tokens that a task remembers.
 PIECE_BYTES = 2 << 20
 REMEMBERED_PAIRS = 200_000
 
 _NOTHING = 1 << 20  # stands before the first token; no token has this id
 _END = "</w>"
+_MARKS = ",.;:!?"
 # White space as the pattern's engine has it; str.split() also splits at \x1c-\x1f.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
@@ -64,6 +65,8 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._words = regex.compile(pattern + "|\n")
+        # Words with a mark at their end are then parts of their own, met more often.
+        self.marks_apart = all(self._words.findall(f"a{m}") == ["a", m] for m in _MARKS)
         self._letters = {b: c for b, c in enumerate(byte_letters()) if b not in (10, 32)}
         # The strings and pairs of both tables are the same objects.
         one = {t: t for t in self.ids}
@@ -118,30 +121,13 @@ class Vocabulary:
         return known
 
 
-def _concatenated(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places of the runs ``starts[i]``, ``starts[i] + 1``, ... of ``sizes[i]`` each, in order."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
-class _Runs:
-    """Lists of numbers, one after the other."""
-
-    def __init__(self, values: np.ndarray, sizes: np.ndarray):
-        self.values, self.sizes = values, sizes
-        self.starts = np.cumsum(sizes) - sizes
-
-    def of(self, lists: np.ndarray) -> np.ndarray:
-        """The values of some lists."""
-        return self.values[_concatenated(self.starts[lists], self.sizes[lists])]
-
-
 class Encoder:
-    """Encodes the distinct words of a batch of texts with one trie."""
+    """Encodes texts; the words of a piece that the task has not met before share one trie."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self._stays: dict[int, bool] = {}
+        self._known = Remembered(self.encode_parts)
         names = [t for t in vocabulary.ids if t not in vocabulary.special]
         self._letters_in = {vocabulary.ids[t]: len(t.removesuffix(_END)) for t in names}
         self._names = vocabulary.tokens
@@ -237,33 +223,31 @@ class Encoder:
             return [part for part in _SPACE.split(text) if part]
         return text.split()
 
-    def encode_texts(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+    def encode_parts(self, parts: list[str]) -> Iterator[list[int]]:
+        """The tokens of each part of a text, all distinct; their words share one trie."""
+        split = [self._split(part) for part in parts]
+        chunks = [*dict.fromkeys(chain.from_iterable(split))]
+        words_in = dict(zip(chunks, self.vocabulary.words_of(chunks), strict=True)) if chunks else {}
+        for special in self.vocabulary.special:
+            if special in words_in:
+                words_in[special] = [special]
+        words = [*dict.fromkeys(chain.from_iterable(words_in.values()))]
+        encoded = dict(zip(words, self.encode_words(words), strict=True))
+        for of_part in split:
+            yield [t for chunk in of_part for word in words_in[chunk] for t in encoded[word]]
+
+    def encode_texts(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """(place of each text's first token, and of the end; token ids of all texts)."""
-        split = [self._split(t) for t in texts]
-        codes, chunks = pd.factorize(np.array([*chain.from_iterable(split)], dtype=object))
-        parts = self.vocabulary.words_of(list(chunks))
-        for place, chunk in enumerate(chunks):
-            if chunk[0] == "<" and chunk in self.vocabulary.special:
-                parts[place] = [chunk]
-        word_codes, words = pd.factorize(np.array([*chain.from_iterable(parts)], dtype=object))
-        encoded = self.encode_words(list(words))
-        tokens = _Runs(
-            np.array([*chain.from_iterable(encoded)], np.int32),
-            np.array([*map(len, encoded)], np.int64),
-        )
-        of_chunk = _Runs(word_codes, np.array([*map(len, parts)], np.int64))
-        in_order = of_chunk.of(codes)
-        ids = pa.array(tokens.of(in_order), pa.int32())
-        # Tokens before each chunk, then before each text.
-        per_chunk = np.bincount(
-            np.repeat(np.arange(len(chunks)), of_chunk.sizes),
-            weights=tokens.sizes[word_codes],
-            minlength=len(chunks),
-        ).astype(np.int64)
-        before = np.concatenate([[0], np.cumsum(per_chunk[codes])])
-        ends = np.cumsum([len(s) for s in split]) if split else []
-        offsets = pa.array(before[np.concatenate([[0], ends]).astype(np.int64)], pa.int32())
-        return offsets, ids
+        spaced = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        if self.vocabulary.marks_apart:
+            spaced = pc.replace_substring_regex(spaced, rf"([A-Za-z])([{_MARKS}])( |$)", r"\1 \2\3")
+        parts = pc.split_pattern(spaced, " ")
+        coded = parts.flatten().dictionary_encode()
+        rows = self._known.rows_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        sizes, ids = self._known.ids_of(rows)
+        ends = np.cumsum(parts.value_lengths().to_numpy())
+        before = np.cumsum(np.r_[0, sizes])[np.r_[0, ends]]
+        return pa.array(before, pa.int32()), pa.array(ids.astype(np.int32))
 
     def decode(self, offsets: pa.Array, ids: pa.Array) -> pa.Array:
         """Tokens joined by a space."""
@@ -286,17 +270,15 @@ def encode(
     """Columns of ``df`` but ``text``, then ``n_tokens``, ``ids`` and, if asked for, ``decoded``.
 
     ``vocabulary``: path of a tokenizer file. Null and empty texts have no tokens. Rows are
-    encoded one by one; no shuffle, and a task holds one trie of a piece of text at a time.
+    encoded one by one; no shuffle, and a task holds one trie of a piece's new words at a time.
     """
     shared = df.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def make():
-        # Tries are trees of many small objects without cycles; looking for cycles costs seconds.
-        gc.disable()
         encoder = Encoder(Vocabulary(shared.value))
 
         def run(texts):
-            offsets, ids = encoder.encode_texts([t.decode() if t else "" for t in texts])
+            offsets, ids = encoder.encode_texts(pa.array(texts, pa.large_binary()))
             lists = pa.ListArray.from_arrays(offsets, ids)
             columns = [lists.value_lengths().cast(pa.int64()), lists]
             return [*columns, encoder.decode(offsets, ids)] if decoded else columns

@@ -4,6 +4,7 @@ import re
 
 import compare
 import pyarrow.parquet as pq
+import pyarrow as pa
 import pytest
 from test_similar import by_hand
 
@@ -68,7 +69,7 @@ def test_pipeline_equals_a_plain_one(spark, edge_dir, which):
     encoder = bpe.Encoder(bpe.Vocabulary(bpe.load()))
     expected = []
     for doc_id, text in left:
-        _, ids = encoder.encode_texts([text])
+        _, ids = encoder.encode_texts(pa.array([text]))
         expected.append((doc_id, len(ids), ids.to_pylist()))
     assert sorted(((r.doc_id, r.n_tokens, list(r.ids)) for r in found), key=str) == sorted(expected, key=str)
 

@@ -7,6 +7,7 @@ from collections import Counter
 import compare
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,7 +130,7 @@ def encoder():
 
 
 def both(encoder, texts):
-    offsets, ids = encoder.encode_texts(texts)
+    offsets, ids = encoder.encode_texts(pa.array(texts, pa.string()))
     at, flat = offsets.to_pylist(), ids.to_pylist()
     return [flat[a:b] for a, b in zip(at, at[1:])], encoder.decode(offsets, ids).to_pylist()
 
