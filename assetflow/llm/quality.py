@@ -16,10 +16,8 @@ from assetflow.llm.batches import filter_pieces, map_pieces
 from assetflow.llm.wordhash import Hasher, Words, _sums, mix
 
 NGRAMS = (5, 6, 7, 8, 9, 10)
-# Percent of a text's word characters that may lie inside n-grams found twice or more, in lines
-# equal to an earlier line, and be symbols.
-MAX_NGRAM_PERCENT = 50
-MAX_LINE_PERCENT = 50
+# Percent of a text's word characters that may lie in lines equal to an earlier line, and be symbols.
+MAX_LINE_PERCENT = 20
 MAX_SYMBOL_PERCENT = 10
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -29,6 +27,14 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars")
 
 
+def max_ngram_percent(n: int) -> int:
+    """Percent of a text's word characters that may lie inside n-grams found twice or more.
+
+    15 for 5 words, falling to 10 for 10: the longer what is repeated, the less of it is chance.
+    """
+    return min(15, max(10, 20 - n))
+
+
 def _found_twice(keys: np.ndarray) -> np.ndarray:
     """True at each key that another key equals."""
     ordered = np.sort(keys)
@@ -105,7 +111,7 @@ def verdicts(counts: dict[str, np.ndarray], ngrams=NGRAMS) -> tuple[np.ndarray,
     bad = failed | (100 * counts["n_symbols"] > MAX_SYMBOL_PERCENT * chars)
     bad |= 100 * counts["dup_line_chars"] > MAX_LINE_PERCENT * chars
     for n in ngrams:
-        bad |= 100 * counts[f"dup_chars_{n}"] > MAX_NGRAM_PERCENT * chars
+        bad |= 100 * counts[f"dup_chars_{n}"] > max_ngram_percent(n) * chars
     return failed, ~bad
 
 
@@ -179,7 +185,7 @@ def sql(table: str = "documents") -> str:
     )
     joins = " ".join(f"left join dup{n} on dup{n}.r = docs.r" for n in NGRAMS)
     dups = ",\n".join(f"cast(coalesce(dup{n}.v, 0) as bigint) as dup_chars_{n}" for n in NGRAMS)
-    limits = " or ".join(f"100 * dup_chars_{n} > {MAX_NGRAM_PERCENT} * word_chars" for n in NGRAMS)
+    limits = " or ".join(f"100 * dup_chars_{n} > {max_ngram_percent(n)} * word_chars" for n in NGRAMS)
     return f"""
     with docs as (
       select row_number() over () as r, doc_id, coalesce(text, '') as t,

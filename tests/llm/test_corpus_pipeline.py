@@ -25,7 +25,7 @@ def test_oracles_on_the_smallest_tables(spark, name):
 
 def test_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in llm_queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(llm_queries.QUERIES) | {"pipeline"} <= set(entry_point.queries())
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality", "toxicity", "near-duplicates", "decontamination", "encoding",

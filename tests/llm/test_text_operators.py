@@ -185,3 +185,14 @@ def test_one_trie_walk_equals_plain_merging(encoder):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     assert encoder.encode_words(words) == [merged(w) for w in words]
+
+
+def test_a_long_repetition_decides_alone():
+    """Ten words twice are 20 of 190: over 10 %, the limit for ten words, and below those for fewer."""
+    words = [f"w{i:03d}" for i in range(180)]
+    text = " ".join([*words[:100], *words[40:50], *words[100:]])
+    counts = quality.measure_texts(Hasher(), [text.encode(), " ".join(words).encode()])
+    bad = [[100 * c > quality.max_ngram_percent(n) * t for c, t in zip(counts[f"dup_chars_{n}"], counts["word_chars"], strict=True)] for n in quality.NGRAMS]
+    assert [b[0] for b in bad] == [False] * 5 + [True] and not any(b[1] for b in bad)
+    failed, kept = quality.verdicts(counts)
+    assert failed.tolist() == [False, False] and kept.tolist() == [False, True]
