@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +16,14 @@ from pyspark.sql import types as T
 PIECE_BYTES = 1 << 19
 
 
+def give_back_memory() -> None:
+    """Return to the system what is free in this worker; later stages use the same worker again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """Values of a string or binary column as bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -62,6 +73,11 @@ def map_pieces(
                     for c, t in zip(made, types, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                made = columns = None
+            texts = batch = None
+            give_back_memory()
+        function = None
+        give_back_memory()
 
     return df.mapInArrow(run, out)
 
@@ -79,6 +95,10 @@ def filter_pieces(
             for lo, hi in pieces(texts):
                 mask = pa.array(function(utf8(texts.slice(lo, hi - lo))), type=pa.bool_())
                 yield batch.slice(lo, hi - lo).filter(mask)
+            texts = batch = None
+            give_back_memory()
+        function = None
+        give_back_memory()
 
     return df.mapInArrow(run, df.schema)
 

@@ -17,7 +17,10 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Remembered:
-    """Word -> its ids by each encoder; forgets all when it holds too much."""
+    """Word -> its ids by each encoder; forgets all when it holds too much.
+
+    Encoders are handed in as functions that do not own it, so that it goes when its task ends.
+    """
 
     def __init__(self, *encoders: Callable[[list[str]], Iterable[list[int]]]):
         self._encoders = encoders
