@@ -1,10 +1,11 @@
 """Near-duplicates: banded MinHash candidates, sifted by odd sketches, confirmed on full sets.
 
-Documents with equal shingle sets are one class from the start. A class has 130 MinHash samples:
-26 bands of 5 give candidates, and all 130 are folded into a bitmap in which each sample flips one
-bit. Two classes that differ in m samples have bitmaps that differ in at most 2 m bits, so the
-count of ones in their XOR bounds the similarity from above: candidates far below the threshold go
-before any text is moved.
+Documents with equal shingle sets are one class from the start. A class has 520 MinHash samples:
+130 of them, in 26 bands of 5, give candidates, and all are folded into bitmaps in which each sample
+flips one bit, a short one of those 130 and a long one of the others. Two classes that differ in m
+samples have bitmaps that differ in at most 2 m bits, so the count of ones in their XOR bounds the
+similarity from above: candidates below the threshold go before any text is moved, most of them by
+the short bitmap.
 
 No bucket is turned into all its pairs. First each class is compared with one class of each of its
 buckets, drawn by hash, and the closest is confirmed. Then only classes of one bucket that are
@@ -34,11 +35,13 @@ PERCENT = 85
 # A pair at the threshold shares no band with a probability of (1 - 0.85**5)**26 = 2e-7.
 BANDS, BAND_ROWS = 26, 5
 SAMPLES = BANDS * BAND_ROWS
-SKETCH_BITS = 1024
-_SKETCH_LONGS = SKETCH_BITS // 64
+SHORT_BITS, LONG_BITS = 1024, 3072
+ALL_SAMPLES = 4 * SAMPLES
+_SHORT_LONGS = SHORT_BITS // 64
 _FP = "__dup_fp"
 # At the threshold 19.5 of 130 samples differ, with a deviation of 4.1; 46 are 6.5 deviations more.
-MAX_DIFFERENT = 46
+# Of 520 samples 78 differ, with a deviation of 8.1; 115 are 4.5 deviations more.
+MAX_DIFFERENT, ALL_MAX_DIFFERENT = 46, 115
 
 SIGNED = T.StructType(
     [
@@ -73,18 +76,27 @@ def fingerprint(shingles: np.ndarray) -> bytes | None:
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, odd sketch) of each nonempty set."""
     flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
-    seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
-    least = np.empty((len(sets), SAMPLES), np.uint64)
-    for i in range(SAMPLES):
+    seeds = mix(np.arange(1, 2 * ALL_SAMPLES + 1, dtype=np.uint64))
+    least = np.empty((len(sets), ALL_SAMPLES), np.uint64)
+    for i in range(ALL_SAMPLES):
         least[:, i] = np.minimum.reduceat((flat ^ seeds[2 * i]) * (seeds[2 * i + 1] | np.uint64(1)), starts)
     bands = np.zeros((len(sets), BANDS), np.uint64)
     for row in range(BAND_ROWS):
-        bands = mix(bands ^ least[:, row::BAND_ROWS]) + np.arange(1, BANDS + 1, dtype=np.uint64)
-    places = mix(least ^ seeds[::2]) % np.uint64(SKETCH_BITS)
-    at = np.arange(len(sets))[:, None] * SKETCH_BITS + places.astype(np.int64)
-    flips = np.bincount(at.ravel(), minlength=len(sets) * SKETCH_BITS) & 1
-    sketch = np.packbits(flips.astype(np.uint8).reshape(len(sets), SKETCH_BITS), axis=1)
-    return bands.view(np.int64), sketch.view(np.int64)
+        bands = mix(bands ^ least[:, row:SAMPLES:BAND_ROWS]) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    chosen = mix(least ^ seeds[::2])
+    sketches = [
+        _odd_sketch(chosen[:, :SAMPLES], SHORT_BITS),
+        _odd_sketch(chosen[:, SAMPLES:], LONG_BITS),
+    ]
+    return bands.view(np.int64), np.hstack(sketches).view(np.int64)
+
+
+def _odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of a bitmap for each row of samples: a bit is set if an odd number of them chose it."""
+    places = (samples % np.uint64(bits)).astype(np.int64)
+    at = np.arange(len(samples))[:, None] * bits + places
+    odd = np.bincount(at.ravel(), minlength=len(samples) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(samples), bits), axis=1)
 
 
 def sign(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -109,16 +121,27 @@ def sign(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _different_bits(a: str, b: str) -> Column:
+    """Bits in which the short bitmaps differ."""
     counts = [
-        F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(_SKETCH_LONGS)
+        F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(_SHORT_LONGS)
     ]
     return sum(counts[1:], counts[0])
 
 
+def _all_different_bits(a: str, b: str) -> Column:
+    """Bits in which both bitmaps differ; of few pairs, so the loop need not be compiled code."""
+    counts = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+
+
 def _may_link(percent: int) -> Column:
     """True unless sizes or sketches of a and b rule out the similarity."""
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return (100 * small >= percent * large) & (_different_bits("a_sketch", "b_sketch") <= 2 * MAX_DIFFERENT)
+    return (
+        (100 * small >= percent * large)
+        & (_different_bits("a_sketch", "b_sketch") <= 2 * MAX_DIFFERENT)
+        & (_all_different_bits("a_sketch", "b_sketch") <= 2 * ALL_MAX_DIFFERENT)
+    )
 
 
 def _side(classes: DataFrame, side: str, *more: str) -> DataFrame:

@@ -118,7 +118,7 @@ def test_sketch_bounds_the_number_of_different_samples():
         return sum(int(x).bit_count() for x in (sketches[i] ^ sketches[j]).view(np.uint64))
 
     assert bits(0, 0) == 0
-    assert bits(0, 1) <= 2 * neardup.MAX_DIFFERENT < bits(0, 2)
+    assert bits(0, 1) <= 2 * neardup.ALL_MAX_DIFFERENT < bits(0, 2)
 
 
 def test_shingle_sets_of_short_texts():
