@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 from assetflow.llm.batches import map_pieces
 from assetflow.llm.optimize import minimize
 
-# Bound of the fit: pages, those with the least hashes of page_id.
+# Bounds of the fit: pages of a sort, those with the least hashes of page_id; bytes of such a page;
+# and made-up pages in old layouts, which are always added, so that plain pages are judged by more
+# than the table happens to hold. Every page counts alike, whatever the table's size.
 TRAIN_PAGES = 150
-# With fewer pages that label themselves, the fit also takes pages labelled by class words and
-# at least so many made-up ones in old layouts, so that a table of plain pages is judged by more than nothing.
-LEAST_PAGES = 20
+TRAIN_BYTES = 1 << 20
 MADE_PAGES = 200
 ITERATIONS = 150
 REGULARIZATION = 2e-5
@@ -77,11 +77,93 @@ CUES = {
 _CUE_OF = {word: cue for cue, words in CUES.items() for word in words.split()}
 _DEEP_CUES = tuple(CUES)
 
-_MARKUP = re.compile(
-    r"<!--(?:.*?-->|[^>]*$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_PLAIN_TAG = re.compile(r"[^>\"']*+>")
+# An attribute's name, which may begin with =, and the = before its value.
+_NAME = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(?:\s*+(=)\s*+)?")
+_UNQUOTED = re.compile(r"[^\s>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_CUE_ATTRIBUTES = ("class", "id", "role")
 _CUE_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_WITHOUT_VALUE = re.compile(r"[^=]*+")
+
+
+def _end_of_tag(page: str, at: int) -> tuple[int, list[tuple[str, str]]] | None:
+    """(end, attributes) of a tag whose name ends at ``at``; null when the page ends in it.
+
+    A quote opens a value only right after the equals sign. One that is never closed is taken for a
+    part of the value, so that its tag ends at the next >.
+    """
+    plain = _PLAIN_TAG.match(page, at)
+    if plain and _WITHOUT_VALUE.fullmatch(page, at, plain.end()):
+        return plain.end(), []
+    attributes = []
+    while True:
+        name = _NAME.match(page, at)
+        at = name.end()
+        value = ""
+        if name[2]:
+            quote = page[at : at + 1]
+            end = page.find(quote, at + 1) if quote in ("'", '"') else -1
+            if end >= 0:
+                value, at = page[at + 1 : end], end + 1
+            else:
+                found = _UNQUOTED.match(page, at)
+                value, at = found[0], found.end()
+        if name[1]:
+            attributes.append((name[1].lower(), value))
+        if at >= len(page):
+            return None
+        if page[at] == ">":
+            return at + 1, attributes
+
+
+def _markup(page: str):
+    """The page as ("text", text), ("open", tag, attributes, self-closing) and ("close", tag).
+
+    Read once from left to right, in time linear in its length. As in browsers, a tag or comment-like
+    markup that the page ends in is dropped; a comment that is never closed ends at the next >.
+    """
+    at, start, comments_end = 0, 0, True
+    while (mark := page.find("<", at)) >= 0:
+        follows = page[mark + 1 : mark + 2]
+        tag = _TAG.match(page, mark + 1)
+        if not tag and not (follows in ("!", "?") and follows or page.startswith("</", mark)):
+            at = mark + 1
+            continue
+        if mark > start:
+            yield "text", page[start:mark]
+        if tag:
+            found = _end_of_tag(page, tag.end())
+            if found is None:
+                return
+            start = at = found[0]
+            name = tag[2].lower()
+            if tag[1]:
+                yield "close", name
+                continue
+            yield "open", name, found[1], page[at - 2] == "/"
+            if name in RAW:
+                end = _RAW_END[name].search(page, at)
+                start = at = end.start() if end else len(page)
+                if name in ("textarea", "xmp"):
+                    yield "text", page[found[0] : at]
+            continue
+        end = None
+        if comments_end and page.startswith("<!--", mark):
+            if page.startswith((">", "->"), mark + 4):
+                end = page.index(">", mark)
+            else:
+                closed = _COMMENT_END.search(page, mark + 4)
+                comments_end = closed is not None
+                end = closed.end() - 1 if closed else None
+        end = page.find(">", mark) if end is None else end
+        if end < 0:
+            return
+        start = at = end + 1
+    if start < len(page):
+        yield "text", page[start:]
 
 
 @dataclass
@@ -98,11 +180,13 @@ class Element:
 
 def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
     """(elements in page order, blocks as (element, text)). Text of inline elements belongs to the
-    nearest block element around them."""
+    nearest block element around them. Takes time in proportion to the page's length."""
     elements = [Element("html", -1, 0)]
     stack, blocks, run = [0], [], []
     owner = [0]  # the block element of each open element
-    at = 0
+    places: dict[str, list[int]] = {}  # where on the stack elements of a tag are
+    silent = 0  # open elements whose text is never shown
+    seen = set()
 
     def flush():
         text = " ".join(entities.unescape("".join(run)).split())
@@ -112,20 +196,24 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
             elements[owner[-1]].words += text.count(" ") + 1
 
     def close(down_to: int):
+        nonlocal silent
         while len(stack) > down_to:
-            if elements[stack[-1]].tag in BLOCKS:
+            tag = elements[stack[-1]].tag
+            if tag in BLOCKS:
                 flush()
+            if len(stack) > 1:
+                places[tag].pop()
+                silent -= tag in NEVER_TEXT
             stack.pop()
             owner.pop()
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close_open(names: str, limits: tuple[str, ...]):
-        for place in range(len(stack) - 1, 0, -1):
-            tag = elements[stack[place]].tag
-            if tag in names.split():
-                return close(place)
-            if tag in limits:
-                return None
-        return None
+        place = last(names.split())
+        if place > last(limits):
+            close(place)
 
     def end_head():
         # Not from inside of its template or noscript, which hold what they like.
@@ -133,37 +221,29 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
             close(len(stack) - 1)
 
     def take(text: str):
-        if text.strip():
+        if not text.isspace():
             end_head()
-        if elements[stack[-1]].tag in NEVER_TEXT or any(elements[i].tag in NEVER_TEXT for i in stack):
+        if silent:
             return
         run.append(text)
-        if any(elements[i].tag == "a" for i in stack):
+        if places.get("a"):
             elements[owner[-1]].link_words += len(text.split())
 
-    while True:
-        match = _MARKUP.search(page, at)
-        if not match:
-            take(page[at:])
-            break
-        if match.start() > at:
-            take(page[at : match.start()])
-        at = match.end()
-        if not match[2]:
+    for kind, *what in _markup(page):
+        if kind == "text":
+            take(what[0])
             continue
-        tag = match[2].lower()
-        if match[1]:
-            for place in range(len(stack) - 1, 0, -1):
-                if elements[stack[place]].tag == tag:
-                    close(place)
-                    break
+        tag = what[0]
+        if kind == "close":
+            if place := last((tag,)):
+                close(place)
             continue
         if tag == "br":
             run.append(" ")
             continue
         if tag not in _IN_HEAD:
             end_head()
-        if tag in ("html", "body") and any(e.tag == tag for e in elements[1:] or elements):
+        if tag == "html" or (tag == "body" and tag in seen):
             continue
         if tag in _CLOSES_P:
             close_open("p", ("td", "th", "button", "table", "article", "div", "section"))
@@ -171,24 +251,19 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
             close_open(*_ENDS[tag])
         if tag in BLOCKS:
             flush()
-        names = [
-            w.lower() for a in _ATTRIBUTE.finditer(match[3]) for w in _CUE_WORD.findall(a[2] or a[3] or a[4] or "")
-        ]
+        names = [w.lower() for a, v in what[1] if a in _CUE_ATTRIBUTES for w in _CUE_WORD.findall(v)]
         if tag in VOID:
             continue
         elements.append(Element(tag, stack[-1], len(stack), names))
+        seen.add(tag)
         if tag == "a":
             elements[owner[-1]].links += 1
-        if not match[3].endswith("/") or tag in RAW:
+        if not what[2] or tag in RAW:
             number = len(elements) - 1
+            places.setdefault(tag, []).append(len(stack))
             stack.append(number)
             owner.append(number if tag in BLOCKS else owner[-1])
-        if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            stop = end.start() if end else len(page)
-            if tag == "textarea":
-                take(page[at:stop])
-            at = stop
+            silent += tag in NEVER_TEXT
     close(0)
     return elements, blocks
 
@@ -254,15 +329,16 @@ class Forest:
         self.sizes = np.array(sizes, np.int64)
         self.flat = np.array(flat, np.int64)
         depth = np.array(depths, np.int64)
-        self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+        ends = np.cumsum(np.bincount(depth, minlength=1))
+        self.levels = np.split(np.argsort(depth, kind="stable"), ends[:-1])
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(weights[self.flat])])
         ends = np.cumsum(self.sizes)
         return sums[ends] - sums[ends - self.sizes]
 
-    def infer(self, theta: np.ndarray):
-        """(log Z, probability of content of each element, of each pair (parent, element))."""
+    def infer(self, theta: np.ndarray, pairs: bool = True):
+        """(log Z, probability of content of each element, of each pair (parent, element) if asked)."""
         n_features = len(_FEATURES)
         pair = np.concatenate([np.zeros((_KINDS, 1)), theta[n_features:].reshape(_KINDS, 3)], axis=1)
         pair = pair.reshape(_KINDS, 2, 2)  # kind, parent's state, child's state
@@ -272,11 +348,13 @@ class Forest:
             up[level] = np.logaddexp.reduce(belief[level][:, None, :] + pair[self.kind[level]], axis=2)
             np.add.at(belief, self.parent[level], up[level])
         whole = belief.copy()
-        both = np.zeros((len(self.parent), 2, 2))
+        both = np.zeros((len(self.parent) if pairs else 0, 2, 2))
         for level in self.levels[1:]:
             without = (whole[self.parent[level]] - up[level])[:, :, None] + pair[self.kind[level]]
-            joint = without + belief[level][:, None, :]
             whole[level] = belief[level] + np.logaddexp.reduce(without, axis=1)
+            if not pairs:
+                continue
+            joint = without + belief[level][:, None, :]
             both[level] = np.exp(joint - np.logaddexp.reduce(joint, axis=(1, 2), keepdims=True))
         total = np.logaddexp.reduce(belief[self.levels[0]], axis=1).sum()
         return total, np.exp(whole[:, 1] - np.logaddexp.reduce(whole, axis=1)), both
@@ -466,48 +544,46 @@ def made_pages(count: int, rng: random.Random) -> list[tuple[list[Element], list
 
 
 def train(pages: DataFrame) -> np.ndarray:
-    """Weights from a bounded sample of the pages that label themselves; with few of them also from
-    pages labelled by class words and from made-up ones."""
+    """Weights from bounded samples of the pages that label themselves and of those that class words
+    label, and from made-up pages. All three are always taken, so no count of pages changes the way."""
 
     def sample(of: DataFrame):
+        small = of.where(F.octet_length("html") <= TRAIN_BYTES)
         least = (
-            of.select("page_id", F.xxhash64("page_id").alias("h"))
+            small.select("page_id", F.xxhash64("page_id").alias("h"))
             .orderBy("h", "page_id")
             .limit(TRAIN_PAGES)
             .select("page_id")
             .distinct()
         )
-        chosen = pages.select("page_id", "html").join(F.broadcast(least), "page_id").dropDuplicates(["page_id"])
+        chosen = small.select("page_id", "html").join(F.broadcast(least), "page_id").dropDuplicates(["page_id"])
         return chosen.orderBy("page_id").collect()
 
     trees, labels = [], []
     rng = random.Random(11)
 
-    def learn(rows, labelled) -> int:
-        found = 0
+    def learn(rows, labelled):
         for row in rows:
             elements, _ = parse(row["html"])
             own = labelled(elements)
             if own is not None:
-                found += 1
                 for tree, marks in variants(elements, own, rng):
                     trees.append(tree)
                     labels.append(marks)
-        return found
-
-    if learn(sample(pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))), labels_of) < LEAST_PAGES:
-        others = sample(pages.where("html is not null"))
-        learn(others, lambda elements: None if labels_of(elements) else labels_by_words(elements))
-        for elements, own in made_pages(max(MADE_PAGES, len(trees)), rng):
-            trees.append(elements)
-            labels.append(own)
+
+    sectioned = F.col("html").rlike(r"(?i)<(article|main)[\s>]")
+    learn(sample(pages.where(sectioned)), labels_of)
+    learn(sample(pages.where(~sectioned)), labels_by_words)
+    for elements, own in made_pages(MADE_PAGES, rng):
+        trees.append(elements)
+        labels.append(own)
     return fit(trees, labels)
 
 
 def extract_texts(weights: np.ndarray, pages: list[str]) -> list[tuple[str, list[tuple[str, float]]]]:
     """(main text, every block with its element's probability of content) of each page."""
     parsed = [parse(p) for p in pages]
-    _, content, _ = Forest([elements for elements, _ in parsed]).infer(weights)
+    _, content, _ = Forest([elements for elements, _ in parsed]).infer(weights, pairs=False)
     out, first = [], 0
     for elements, blocks in parsed:
         scored = [(text, float(content[first + i])) for i, text in blocks]

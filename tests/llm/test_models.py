@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -367,6 +368,50 @@ def test_broken_markup():
     assert [t for _, t in blocks] == ["ab", "cd&e é f g"]
 
 
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<p title=it's>First</p><p>Second don't lose me</p><p>Third</p>", ["First", "Second don't lose me", "Third"]),
+        ('<p class=a">First', ["First"]),
+        ('<p class="x>First', ["First"]),
+        ("<p class='x>y' id=z>First<p", ["First"]),
+        ("a < b <c", ["a < b"]),
+        ("<!-->a<!--->b<!-- x --!>c<!-- y >d", ["abcd"]),
+        ("x</ foo>y</>z", ["xyz"]),
+        ("<xmp>q</xmp><textarea>r</textareas></textarea>", ["q", "r</textareas>"]),
+        ("<p>a</p><title>never closed <p>b", ["a"]),
+    ],
+)
+def test_stray_quotes_and_open_markup(page, blocks):
+    assert [t for _, t in htmltree.parse(page)[1]] == blocks
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div>x" * 100_000, "<span>" * 50_000 + "<p>x" * 50_000, "<!--x>" * 150_000, '<a x="' * 150_000]
+    + ["<a x='>" + '<a x=">t' * 75_001, "<body>" * 150_000, "<li>x" * 100_000, "</q>" * 200_000, "<" * 1_000_000],
+)
+def test_pages_of_broken_tags_and_deep_trees_take_linear_time(page):
+    start = time.process_time()
+    htmltree.extract_texts(np.zeros(htmltree.N_WEIGHTS), [page])
+    assert time.process_time() - start < 15
+
+
+def test_a_page_more_that_labels_itself_changes_no_text(spark):
+    def labelled(n):
+        return layouts(n)[2].replace("<div id=content>", "<article>", 1)
+
+    others = [(100 + 10 * n + k, layouts(n)[k]) for n in range(4) for k in range(5)]
+    texts = []
+    for count in (19, 20):
+        pages = spark.createDataFrame([(n, labelled(n)) for n in range(count)] + others, "page_id long, html string")
+        found = htmltree.extract(pages, htmltree.train(pages)).collect()
+        texts.append({r.page_id: r.text for r in found if r.page_id != 19})
+    assert texts[0] == texts[1]
+    for page, html in others:
+        assert texts[0][page].split("\n") == [t for _, t in htmltree.parse(html)[1] if t.isupper()]
+
+
 @pytest.mark.parametrize("body", ["<body><p>a<p>b</body>", "<p>a<p>b", "<div>a</div><div>b</div>", "</script>a<p>b", "<body>a<br>b"])
 def test_a_head_without_its_end_tag(body):
     head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><style>p{}</style><noscript><img src=x>n</noscript>\n<template><p>t</p></template><script>var t</script>\n"
