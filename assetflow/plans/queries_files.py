@@ -14,7 +14,7 @@ from assetflow.plans.jobs import organize_collection
 from assetflow.shared import new_path, stage
 from assetflow.sources import files as file_sources
 from assetflow.sources import sheets as sheet_sources
-from assetflow.sources import views
+from assetflow.sources import sheetcache, views
 
 
 def _assets(spark: SparkSession, sf: str) -> DataFrame:
@@ -373,32 +373,18 @@ _LISTED_SQL = """
 """
 
 
-def _half_cached(spark: SparkSession, sf: str) -> tuple[DataFrame, str, sheet_sources.Reader]:
-    """(listing of the landed sheets, cache with a part of them, how sheets are read)."""
-    roots = _land_sheets(spark, sf)
+def _half_cached(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """(listing of the landed sheets' files, cache with a part of them)."""
+    roots = list(_land_sheets(spark, sf))
     empty = views.table(spark, sf, "region").select(F.col("r_name").alias("source_id"))
     header = ",".join(c for c in views.sheet_layouts(spark, sf)[0].columns if c != "source_id")
-    empty_root = new_path(spark, "sheets")
-    empty.select(F.lit(header).alias("value"), "source_id").write.partitionBy("source_id").text(empty_root)
-    layouts = [
-        (layout.select("source_id").distinct(), root)
-        for layout, root in zip([*views.sheet_layouts(spark, sf), empty], [*roots, empty_root], strict=True)
-    ]
-    listing = reduce(DataFrame.union, [ids.withColumn("root", F.lit(root)) for ids, root in layouts])
-    listing = stage(listing, "listing")
-
-    def read(ids: list[str]) -> DataFrame:
-        wanted = listing.where(F.col("source_id").isin(ids)).collect()
-        folders: dict[str, list[str]] = {}
-        for row in wanted:
-            folders.setdefault(row["root"], []).append(f"{row['root']}/source_id={row['source_id']}")
-        first = folders.pop(empty_root, []) + folders.pop(roots[0], [])
-        rows = sheet_sources.read_sheets(spark, [(f, None) for f in ([first] if first else [])] + [(f, None) for f in folders.values()])
-        return rows.withColumn("source_id", F.regexp_extract("source_id", "/source_id=([^/]*)/", 1))
-
+    roots.append(new_path(spark, "sheets"))
+    empty.select(F.lit(header).alias("value"), "source_id").write.partitionBy("source_id").text(roots[-1])
+    found = reduce(DataFrame.union, [file_sources.scan_files(spark, root) for root in roots])
+    listing = found.withColumn("source_id", F.regexp_extract("path", "/source_id=([^/]*)/", 1))
     cache = new_path(spark, "cache")
-    sheet_sources.cache_incremental(listing.filter(_CACHED_FIRST), read, cache)
-    return listing, cache, read
+    sheetcache.convert_missing(listing.filter(_CACHED_FIRST), cache)
+    return listing, cache
 
 
 @query(
@@ -409,17 +395,15 @@ def _half_cached(spark: SparkSession, sf: str) -> tuple[DataFrame, str, sheet_so
     ("sheets",),
 )
 def cache_incremental(spark, sf):
-    listing, cache, read = _half_cached(spark, sf)
-    before = sheet_sources.cache_manifest(spark, cache).select("source_id", F.lit(True).alias("_known"))
-    before = stage(before, "before")
-    converted = sheet_sources.cache_incremental(listing, read, cache)
-    cached = sheet_sources.read_cached(spark, cache).groupBy("source_id").agg(F.count("*").alias("num_rows"))
+    listing, cache = _half_cached(spark, sf)
+    before = stage(sheetcache.manifest(spark, cache).select("source_id", F.lit(True).alias("_known")).distinct(), "before")
+    sheetcache.convert_missing(listing, cache)
+    cached = sheetcache.read_converted(spark, cache).groupBy("source_id").agg(F.count("*").alias("num_rows"))
+    sources = sheetcache.manifest(spark, cache).select("source_id").distinct().join(before, "source_id", "left")
+    converted = sources.where("_known is null").count()
     return (
-        sheet_sources.cache_manifest(spark, cache)
-        .select("source_id")
-        .join(cached, "source_id", "left")
+        sources.join(cached, "source_id", "left")
         .fillna(0, subset=["num_rows"])
-        .join(before, "source_id", "left")
         .withColumn("added", F.col("_known").isNull())
         .withColumn("converted", F.lit(converted).cast("long"))
         .drop("_known")
@@ -428,11 +412,10 @@ def cache_incremental(spark, sf):
 
 @query("cache_require", f"select source_id from ({_LISTED_SQL}) where source_id >= 'G'", ("sheets",))
 def cache_require(spark, sf):
-    listing, cache, _ = _half_cached(spark, sf)
-    manifest = sheet_sources.cache_manifest(spark, cache)
+    listing, cache = _half_cached(spark, sf)
     # What is cached passes the check, which raises otherwise.
-    sheet_sources.cache_require(listing.filter(_CACHED_FIRST), manifest)
-    return sheet_sources.not_cached(listing, manifest)
+    sheetcache.require(listing.filter(_CACHED_FIRST), cache)
+    return sheetcache.missing_files(listing, cache).select("source_id").distinct()
 
 
 @query(
@@ -441,7 +424,8 @@ def cache_require(spark, sf):
     ("sheets",),
 )
 def join_anti_cache(spark, sf):
-    listing, cache, read = _half_cached(spark, sf)
-    todo = sheet_sources.not_cached(listing, sheet_sources.cache_manifest(spark, cache))
-    rows = read([row["source_id"] for row in todo.collect()])
-    return rows.groupBy("source_id").agg(F.count("*").alias("num_rows"))
+    listing, cache = _half_cached(spark, sf)
+    todo = sheetcache.missing_files(listing, cache)
+    rest = new_path(spark, "cache")
+    sheetcache.convert_missing(todo, rest)
+    return sheetcache.read_converted(spark, rest).groupBy("source_id").agg(F.count("*").alias("num_rows"))

@@ -90,6 +90,7 @@ def cache_incremental(
 ) -> int:
     """Add the listed sources that are not cached yet; returns how many were converted.
 
+    For readers of any format; CSV sheets are better converted by ``sheetcache.convert_missing``.
     Only those are opened: ``read`` gets their ids, at most ``at_once`` in a run. A source without
     rows is cached too, with 0 rows. Readers go by the manifest, so the data of an interrupted run
     is never seen and its sources are done again.
@@ -115,7 +116,7 @@ def cache_incremental(
     return converted
 
 
-def _common_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
+def common_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
     """For columns whose type differs between runs: double for numbers, else string."""
     kinds: dict[str, set[T.DataType]] = {}
     for schema in schemas:
@@ -138,7 +139,7 @@ def read_cached(spark: SparkSession, cache: str) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "source_id string")
     schemas = {ddl: T.StructType.fromDDL(ddl) for ddl in paths}
-    common = _common_types(list(schemas.values()))
+    common = common_types(list(schemas.values()))
     return union_ragged(
         spark.read.schema(schemas[ddl])
         .parquet(*own)
