@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,8 @@ from assetflow.shared import new_path, stage
 MIN_REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_ID = re.compile(r"<urn:x-record:([^:>]*):([^>]*)>")
+_ID = re.compile(r"<urn:x-record:([^:>]*):([0-9]+)>")
+_NO_ID = "!"  # stands for a null id, and occurs in no encoded one
 
 RECORD = T.StructType(
     [
@@ -38,10 +40,15 @@ RECORD = T.StructType(
 
 
 def _urn(page: str, row: str):
-    value = F.coalesce(F.col(page).cast("string"), F.lit(""))
+    value = F.coalesce(F.url_encode(F.col(page).cast("string")), F.lit(_NO_ID))
     return F.concat(F.lit("<urn:x-record:"), value, F.lit(":"), F.col(row).cast("string"), F.lit(">"))
 
 
+def _id_of(urn: str) -> str | None:
+    code = _ID.fullmatch(urn)[1]
+    return None if code == _NO_ID else unquote_plus(code)
+
+
 def _heads(records: DataFrame) -> DataFrame:
     """The head of each record, and the digest of the payload that follows it."""
     narrow = stage(
@@ -132,7 +139,9 @@ def write_archive(df: DataFrame, path: str, id: str, uri: str, payload: str) ->
 
     Of equal payloads of ``MIN_REVISIT_BYTES`` or more, the record with the least id is the
     response (a null id comes last; of repeated ids, one row) and the others revisit it. A null
-    payload is an empty one, a null uri leaves its field out, other columns are not stored.
+    payload is an empty one, a null uri leaves its field out, other columns are not stored. Ids are
+    percent-encoded in the records, so they may hold anything; control characters and blanks in a
+    uri become ``%20``.
     """
     records = df.select(
         F.col(id).alias("id"),
@@ -165,14 +174,13 @@ def _described(record: bytes, full_payload: bytes | None) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
-    refers = _ID.match(fields.get("WARC-Refers-To", ""))
     return {
-        "id": _ID.match(fields["WARC-Record-ID"])[1] or None,
+        "id": _id_of(fields["WARC-Record-ID"]),
         "uri": fields.get("WARC-Target-URI"),
         "record_type": fields["WARC-Type"],
         "payload_bytes": None if payload is None else len(payload),
         "payload_digest": digest,
-        "refers_to": (refers[1] or None) if refers else None,
+        "refers_to": _id_of(fields["WARC-Refers-To"]) if revisit else None,
     }
 
 
@@ -180,7 +188,7 @@ def read_archive(spark: SparkSession, path: str, with_bytes: bool = True) -> Dat
     """Every record of an archive: its fields, its exact bytes and its full payload.
 
     Each record is put together from its head and its payload, parsed, and its payload checked
-    against the digest. ``with_bytes=False`` leaves ``record`` and ``payload`` null.
+    against the digest; a payload that is missing from the archive is an error. ``with_bytes=False`` leaves ``record`` and ``payload`` null.
     """
     heads = spark.read.schema("head binary, digest string").parquet(f"{path}/heads")
     payloads = spark.read.schema("digest string, frame binary").parquet(f"{path}/payloads")
@@ -192,7 +200,9 @@ def read_archive(spark: SparkSession, path: str, with_bytes: bool = True) -> Dat
         unpacker = zstandard.ZstdDecompressor()
         for batch in stream:
             rows, records, full = [], [], []
-            for head, frame in zip(batch.column(0), batch.column(1), strict=True):
+            for head, frame, digest in zip(*batch.columns, strict=True):
+                if not frame.is_valid:
+                    raise ValueError(f"the archive has lost the payload {digest}")
                 payload = unpacker.decompress(frame.as_py())
                 head = head.as_py()
                 stored = b"" if b"\r\nWARC-Type: revisit\r\n" in head else payload
@@ -207,7 +217,7 @@ def read_archive(spark: SparkSession, path: str, with_bytes: bool = True) -> Dat
             columns += [pa.array(records, pa.binary()), pa.array(full, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=RECORD.names)
 
-    return heads.join(payloads, "digest").select("head", "frame").mapInArrow(rebuild, RECORD)
+    return heads.join(payloads, "digest", "left").select("head", "frame", "digest").mapInArrow(rebuild, RECORD)
 
 
 def export_files(spark: SparkSession, path: str, target: str) -> None:

@@ -108,3 +108,27 @@ def test_first_cut_is_a_median_of_the_widest_dimension(spark):
     left = sorted(r.x for r in shards[0])
     assert left == list(range(len(left)))  # y is the same everywhere
     assert abs(sum(r.size for r in shards[0]) - 9500) <= 100
+
+
+def test_ids_of_any_characters_come_back(spark, tmp_path):
+    ids = ["a:b", "a", "", None, "x>y", "100%", "a b+c", "!", "é\n", "-5"]
+    rows = [(i, None, "same " * 40) for i in ids] + [("z", None, "z " * 80), ("y:1", "http://a b/", "z " * 80)]
+    path = new_path(spark, "test-archive")
+    warc.write_archive(spark.createDataFrame(rows, "i string, u string, p string"), path, "i", "u", "p")
+    found = warc.read_archive(spark, path).collect()
+    assert sorted(map(str, (r.id for r in found))) == sorted(map(str, [*ids, "z", "y:1"]))
+    by_id = {r.id: r for r in found}
+    assert by_id[""].record_type == "response" and by_id["a:b"].refers_to == "" and by_id[None].refers_to == ""
+    assert by_id["z"].refers_to == "y:1" and by_id["y:1"].uri == "http://a%20b/"
+    warc.export_files(spark, path, str(tmp_path / "out"))
+    again = warc.read_files(spark, f"{tmp_path}/out/*.gz").collect()
+    assert sorted(map(str, (r.id for r in again))) == sorted(map(str, (r.id for r in found)))
+
+
+def test_a_lost_payload_is_an_error(spark):
+    path, cut = new_path(spark, "test-archive"), new_path(spark, "test-archive")
+    warc.write_archive(spark.createDataFrame([(1, "x" * 200), (2, "y" * 200)], "i long, p string").selectExpr("i", "null as u", "p"), path, "i", "u", "p")
+    spark.read.parquet(f"{path}/heads").write.parquet(f"{cut}/heads")
+    spark.read.parquet(f"{path}/payloads").limit(1).write.parquet(f"{cut}/payloads")
+    with pytest.raises(Exception, match="lost the payload"):
+        warc.read_archive(spark, cut).collect()
