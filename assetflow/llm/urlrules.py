@@ -2,8 +2,10 @@
 
 A labelled url is a transaction of its tokens and, if it is bad, of one more item. FP-growth finds
 the frequent sets; those with that item give rules "these tokens, then bad". Rules of enough
-support and confidence are kept, unless part of their tokens gives a rule at least as sure. A rule
-is filed under its rarest token, and a url is tested only against the rules filed under its tokens.
+support and confidence are kept, unless part of their tokens gives a rule at least as sure. Tokens
+of the same labelled urls are one item, as any of them stands for the others: else the sets double
+with each such token. A rule is filed under the tokens of its rarest item, and a url is tested only
+against the rules filed under its tokens.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetflow.shared import stage
+from assetflow.shared import broadcast_if_small, stage
 
 # Fixed list: rule (host and path), verdict.
 RULES = (
@@ -79,31 +81,65 @@ def tokens_of(url: str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
+def _alike(baskets: DataFrame) -> DataFrame:
+    """``token``, ``item``, the least token of the same baskets, and ``members``, all of these."""
+    of = baskets.select("basket", F.explode("tokens").alias("token"))
+    # Equal sets of baskets have equal counts and sums of two hashes.
+    sums = [F.sum(F.xxhash64("basket", F.lit(seed)).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    signed = of.groupBy("token").agg(F.count("*").alias("n"), *sums)
+    groups = signed.groupBy("n", "s1", "s2").agg(F.array_sort(F.collect_set("token")).alias("members"))
+    return groups.select(F.explode("members").alias("token"), F.col("members")[0].alias("item"), "members", "n")
+
+
 def mine(
     labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
-    """Rules from ``labelled`` (``tokens``, ``bad``): ``rule``, its tokens, ``confidence``,
-    ``support`` and ``filed``, the rarest of its tokens. Fewer than ``MIN_URLS`` urls give no rule."""
+    """Rules from ``labelled`` (``tokens``, ``bad``): ``rule``, its items, each named by its least
+    token, ``members``, the tokens of each item, ``confidence``, ``support`` and ``filed``, the tokens
+    of its rarest item. Fewer than ``MIN_URLS`` urls give no rule.
+
+    The cost grows with the frequent sets of items. Tokens that occur in the same labelled urls only,
+    as those of one long url that is labelled often, count as one item."""
     spark = labelled.sparkSession
-    items = F.when(F.col("bad"), F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens"))
-    baskets = stage(labelled.select(items.alias("items")), "baskets")
-    empty = "rule array<string>, confidence double, support double, filed string"
+    empty = (
+        "rule array<string>, members array<array<string>>, confidence double, support double, filed array<string>"
+    )
+    baskets = stage(
+        labelled.select(F.array_distinct("tokens").alias("tokens"), "bad").withColumn(
+            "basket", F.monotonically_increasing_id()
+        ),
+        "baskets",
+    )
     total = baskets.count()
     if total < MIN_URLS:
         return spark.createDataFrame([], empty)
+    alike = stage(_alike(baskets), "alike")
+    items = (
+        baskets.select("basket", "bad", F.explode("tokens").alias("token"))
+        .join(alike.select("token", "item"), "token")
+        .groupBy("basket", "bad")
+        .agg(F.collect_set("item").alias("items"))
+        .select(F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
+    )
+    # Urls without a token count for the support.
+    bare = baskets.where(F.size("tokens") == 0).select(
+        F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")).alias("items")
+    )
     support = min(1.0, max(min_support, MIN_URLS / total))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(
+        stage(items.union(bare), "items")
+    )
     rules = model.associationRules.where(F.col("consequent")[0] == _BAD).select(
         F.array_sort("antecedent").alias("rule"), "confidence", "support"
     )
     rules = stage(rules, "rules")
-    # A rule goes when one of its subsets, found by its first token, is as sure.
-    by_token = rules.select(F.explode("rule").alias("token"), "rule", "confidence")
+    # A rule goes when one of its subsets, found by its first item, is as sure.
+    by_item = rules.select(F.explode("rule").alias("item"), "rule", "confidence")
     part = rules.select(
-        F.col("rule")[0].alias("token"), F.col("rule").alias("part"), F.col("confidence").alias("part_confidence")
+        F.col("rule")[0].alias("item"), F.col("rule").alias("part"), F.col("confidence").alias("part_confidence")
     )
     beaten = (
-        by_token.join(part, "token")
+        by_item.join(part, "item")
         .where(
             (F.size("part") < F.size("rule"))
             & (F.size(F.array_except("part", "rule")) == 0)
@@ -113,26 +149,31 @@ def mine(
         .distinct()
     )
     kept = rules.join(beaten, "rule", "left_anti")
-    times = (
-        baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    )
-    rarest = (
-        kept.select("rule", F.explode("rule").alias("token"))
-        .join(times, "token")
+    described = (
+        kept.select("rule", F.explode("rule").alias("item"))
+        .join(alike.where("token = item").select("item", "members", "n"), "item")
         .groupBy("rule")
-        .agg(F.min(F.struct("n", "token")).alias("rarest"))
+        .agg(
+            F.min(F.struct("n", "item", "members")).alias("rarest"),
+            F.array_sort(F.collect_list("members")).alias("members"),
+        )
+    )
+    return kept.join(described, "rule").select(
+        "rule", "members", "confidence", "support", F.col("rarest.members").alias("filed")
     )
-    return kept.join(rarest, "rule").select("rule", "confidence", "support", F.col("rarest.token").alias("filed"))
 
 
 def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """``token_sets`` (distinct ``tokens``) that hold all tokens of a rule, with the surest one."""
+    """``token_sets`` (distinct ``tokens``) that hold a token of each of a rule's items, with the
+    surest rule in the tokens of the url."""
+    filed = rules.select("members", "confidence", F.explode("filed").alias("filed"))
+    own = F.transform("members", lambda some: F.array_max(F.array_intersect(some, "tokens")))
     return (
         token_sets.select("tokens", F.explode("tokens").alias("filed"))
-        .join(rules, "filed")
-        .where(F.size(F.array_except("rule", "tokens")) == 0)
+        .join(filed, "filed")
+        .where(F.forall("members", lambda some: F.arrays_overlap(some, "tokens")))
         .groupBy("tokens")
-        .agg(F.max(F.struct("confidence", "rule")).alias("best"))
+        .agg(F.max(F.struct("confidence", F.array_sort(own).alias("rule"))).alias("best"))
         .select("tokens", F.col("best.rule").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
     )
 
@@ -169,7 +210,7 @@ def judge(
     for rule, verdict in rules:
         given = F.when(F.col("rule") == rule, verdict).otherwise(given)
     method = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
-    judged = urls.join(matched, "tokens", "left")
+    judged = urls.join(broadcast_if_small(stage(matched, "matched")), "tokens", "left")
     return judged.select(
         "page_id", "host", "path", "rule", F.coalesce(given, method).alias("verdict"), "mined_rule", "confidence"
     )

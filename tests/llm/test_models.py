@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from assetflow.llm import htmltree, langmodel, toxicity, urlrules
+from assetflow.shared import stage
 
 
 def words_of(text):
@@ -290,6 +291,42 @@ def test_a_rule_may_need_five_tokens(spark):
     assert [r.tokens for r in urlrules.match(seen, urlrules.mine(labelled)).collect()] == [tokens + ["path:z"]]
 
 
+def test_equal_urls_of_many_tokens_are_mined_at_once(spark):
+    """Verdicts are those of all single tokens and pairs, which decide here."""
+    rng = random.Random(3)
+    hot = [f"path:h{i:02}" for i in range(40)] + ["scheme:https"]
+    sets = [(hot, True)] * 40
+    for _ in range(160):
+        some = rng.sample([f"path:c{i}" for i in range(6)], 3) + ["scheme:https"]
+        sets.append((some, {"path:c0", "path:c1"} <= set(some)))
+    labelled = spark.createDataFrame(sets, "tokens array<string>, bad boolean")
+    start = time.time()
+    rules = stage(urlrules.mine(labelled), "rules")
+    assert time.time() - start < 60
+    seen = [["path:h07", "query:z"], ["path:h39", "path:h01", "path:c2"], ["path:c0", "path:c1"], ["path:c0"], ["scheme:https"], []]
+    seen += [[t for t in tokens if rng.random() < 0.7] for tokens, _ in sets[30:]]
+    seen = {tuple(sorted(s)) for s in seen}
+
+    def share(part):
+        marks = [bad for tokens, bad in sets if part <= set(tokens)]
+        return sum(marks) / len(marks) if sum(marks) >= urlrules.MIN_URLS else 0.0
+
+    def sure(tokens):
+        known = [t for t in tokens if t in hot or t.startswith("path:c")]
+        parts = [{a, b} for a in known for b in known]
+        return max([share(p) for p in parts], default=0.0)
+
+    frame = spark.createDataFrame([(list(s),) for s in seen], "tokens array<string>")
+    found = {tuple(r.tokens): r for r in urlrules.match(frame, rules).collect()}
+    for tokens in seen:
+        best = sure(tokens)
+        assert (tokens in found) == (best >= urlrules.MIN_CONFIDENCE), tokens
+        if tokens in found:
+            assert found[tokens].confidence == pytest.approx(best)
+            assert set(found[tokens].mined_rule) <= set(tokens)
+            assert share(set(found[tokens].mined_rule)) == pytest.approx(best)
+
+
 def test_few_labels_give_no_rule(spark):
     pages = spark.createDataFrame([(i, "https://a.io/x") for i in range(10)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0, 1) for i in range(10)], "doc_id long, quality int, toxic int")
