@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetflow.shared import stage
+from assetflow.shared import broadcast_if_small, stage
 
 SHARDS = 24
 ROW_OVERHEAD = 8
@@ -47,14 +47,44 @@ def _key(dim: str) -> Column:
     return F.shiftleft(F.col(dim), _TIE_BITS) + F.col("_tie")
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A number that grows with the column; of a string, its first seven bytes."""
-    kind = dict(df.dtypes)[name]
-    if kind in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    value = F.col(name).cast("double")
-    return F.when(F.isnan(value), None).otherwise(value)
+def _ranks(rows: DataFrame, name: str) -> DataFrame:
+    """``value``, ``rank``: the distinct values of a column in order, numbered from 0.
+
+    They are sorted by ranges; the driver and one window get a row per range only.
+    """
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    values = rows.select(F.col(name).alias("value")).where("value is not null").distinct()
+    placed = stage(
+        values.repartitionByRange(4 * slots, "value")
+        .sortWithinPartitions("value")
+        .select(
+            "value",
+            F.spark_partition_id().alias("range"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
+        ),
+        "ranks",
+    )
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("range").agg(F.count("*").alias("n")).select(
+        "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    return placed.join(F.broadcast(sums), "range").select("value", (F.col("before") + F.col("place")).alias("rank"))
+
+
+def _numbered(rows: DataFrame, dims: dict[str, str]) -> DataFrame:
+    """``rows`` with each dimension as a double that grows with its column: a number itself, a
+    string's rank among the column's values; null is below all."""
+    kinds = dict(rows.dtypes)
+    for dim, name in dims.items():
+        if kinds[name] in ("string", "binary"):
+            ranks = broadcast_if_small(_ranks(rows, name)).select(
+                F.col("value").alias(name), F.col("rank").alias(dim)
+            )
+            rows = rows.join(ranks, name, "left").withColumn(dim, F.coalesce(F.col(dim), F.lit(-1)).cast("double"))
+        else:
+            value = F.col(name).cast("double")
+            rows = rows.withColumn(dim, F.when(F.isnan(value), None).otherwise(value))
+    return rows
 
 
 def _codes(rows: DataFrame, dims: list[str]) -> DataFrame:
@@ -133,20 +163,27 @@ def _cut_all(rows: DataFrame, nodes: list[_Node], goals: dict[int, int], dims: l
 def kd_shards(df: DataFrame, dims: list[str], n_shards: int = SHARDS) -> DataFrame:
     """``df`` with ``shard``, 0 .. ``n_shards`` - 1, and ``slot``, gapless from 0 in each shard.
 
-    ``df`` has a long ``size``; every column counts for the order of equal keys. ``dims``: number
-    or string columns; nulls count as the least value. Rows that are equal in all columns are
+    ``df`` has a long ``size``; every column counts for the order of equal keys, and may have any
+    name. Columns of ``df`` called shard or slot are replaced. ``dims``: number or string columns,
+    strings by their ranks; nulls count as the least value. Rows that are equal in all columns are
     spread by their place in the written table, so no group of copies holds a shard together.
     An empty table gives an empty one. A shard can stay empty when there are few rows.
     """
     dim_cols = [f"_dim{i}" for i in range(len(dims))]
-    columns = df.columns
-    rows = df.withColumns({d: _number(df, c) for d, c in zip(dim_cols, dims, strict=True)})
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    named = {d: f"_val{i}" for i, d in enumerate(dim_cols)}
+    # The columns of df travel in one struct, apart from the engine's own.
+    rows = df.select(
+        F.struct(*[F.col(_quoted(c)).alias(c) for c in df.columns]).alias("_given"),
+        F.col("size"),
+        *[F.col(_quoted(c)).alias(v) for v, c in zip(named.values(), dims, strict=True)],
+        F.monotonically_increasing_id().alias("_row"),
+    )
     # 20 bits of the row's values, then 12 of its place, which only matter among equal rows.
-    tie = F.shiftleft(F.xxhash64(*columns).bitwiseAND(F.lit((1 << 20) - 1)), 12) + F.xxhash64(
+    tie = F.shiftleft(F.xxhash64("_given").bitwiseAND(F.lit((1 << 20) - 1)), 12) + F.xxhash64(
         "_row"
     ).bitwiseAND(F.lit((1 << 12) - 1))
-    rows = _codes(stage(rows.withColumn("_tie", tie), "shard-rows"), dim_cols)
+    rows = stage(rows.withColumn("_tie", tie), "shard-rows")
+    rows = _codes(stage(_numbered(rows, named).drop(*named.values()), "shard-codes"), dim_cols)
 
     tree = _Node(0, n_shards)
     while open_nodes := [n for n in tree.leaves() if n.shards > 1]:
@@ -164,22 +201,29 @@ def kd_shards(df: DataFrame, dims: list[str], n_shards: int = SHARDS) -> DataFra
             half = node.shards // 2
             node.left = _Node(node.first, half)
             node.right = _Node(node.first + half, node.shards - half)
-    return _with_slots(rows.withColumn("shard", tree.assign().cast("int")), columns)
+    return _with_slots(rows.withColumn("_shard", tree.assign().cast("int")))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _with_slots(rows: DataFrame, columns: list[str]) -> DataFrame:
+def _with_slots(rows: DataFrame) -> DataFrame:
     """Number the rows of each shard: by parts of a bounded size, and rows within a part."""
     parts = max(1, rows.count() // (SHARDS * _SLOT_ROWS))
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_tie", "_row"), F.lit(parts)))
-    earlier = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_shard", "_part").agg(F.count("*").alias("_n"))
     offsets = counts.select(
-        "shard", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        "_shard", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("shard", "_part").orderBy("_tie", "_row")
+    inside = Window.partitionBy("_shard", "_part").orderBy("_tie", "_row")
     numbered = dealt.withColumn("_place", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, ["shard", "_part"]).select(
-        *columns, "shard", (F.col("_before") + F.col("_place")).cast("long").alias("slot")
+    given = [f.name for f in rows.schema["_given"].dataType if f.name.lower() not in ("shard", "slot")]
+    return numbered.join(offsets, ["_shard", "_part"]).select(
+        *[F.col("_given")[name].alias(name) for name in given],
+        F.col("_shard").alias("shard"),
+        (F.col("_before") + F.col("_place")).cast("long").alias("slot"),
     )
 
 

@@ -132,3 +132,30 @@ def test_a_lost_payload_is_an_error(spark):
     spark.read.parquet(f"{path}/payloads").limit(1).write.parquet(f"{cut}/payloads")
     with pytest.raises(Exception, match="lost the payload"):
         warc.read_archive(spark, cut).collect()
+
+
+def test_strings_with_a_common_beginning_are_split_by_value(spark):
+    rows = [(i, 10, "https://" + ("aaa" if i % 2 else "zzz"), i % 5) for i in range(4000)]
+    df = spark.createDataFrame(rows, "_row long, size long, source string, `_tie` int")
+    found = sharding.kd_shards(df, ["source"], 2).collect()
+    assert {(r.source, r.shard) for r in found} == {("https://aaa", 0), ("https://zzz", 1)}
+    assert sorted((r["_row"], r["_tie"]) for r in found) == [(i, i % 5) for i in range(4000)]
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["_row", "_leaf", "_part", "_place", "_n", "_dim0", "_val0", "_given", "a.b", "_shard"]
+    rows = [(i % 7, *range(len(names)), f"old{i}", None if i % 3 else "s") for i in range(300)]
+    schema = ", ".join(["size long", *[f"`{n}` int" for n in names], "slot string", "text string"])
+    found = sharding.kd_shards(spark.createDataFrame(rows, schema), ["text", "a.b"], 5)
+    assert found.columns == ["size", *names, "text", "shard", "slot"]
+    got = found.collect()
+    assert len(got) == 300 and all(r[n] == i for r in got for i, n in enumerate(names))
+    for shard in range(5):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_ranks_number_the_distinct_values_in_order(spark):
+    values = [f"k{i * 7919 % 5000:04}" for i in range(5000)] * 2 + [None, ""]
+    got = sharding._ranks(spark.createDataFrame([(v,) for v in values], "v string"), "v").collect()
+    assert sorted((r["rank"], r["value"]) for r in got) == list(enumerate(sorted({v for v in values if v is not None})))
