@@ -113,21 +113,18 @@ def mine(
     total = baskets.count()
     if total < MIN_URLS:
         return spark.createDataFrame([], empty)
-    alike = stage(_alike(baskets), "alike")
+    support = min(1.0, max(min_support, MIN_URLS / total))
+    # Tokens of frequent sets: at most 1 / min_support times the mean number of tokens of a url.
+    alike = stage(_alike(baskets).where(F.col("n") >= int(support * total)), "alike")
     items = (
-        baskets.select("basket", "bad", F.explode("tokens").alias("token"))
-        .join(alike.select("token", "item"), "token")
+        baskets.select("basket", "bad", F.explode_outer("tokens").alias("token"))
+        .join(broadcast_if_small(alike.select("token", "item")), "token", "left")
         .groupBy("basket", "bad")
         .agg(F.collect_set("item").alias("items"))
         .select(F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
     )
-    # Urls without a token count for the support.
-    bare = baskets.where(F.size("tokens") == 0).select(
-        F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")).alias("items")
-    )
-    support = min(1.0, max(min_support, MIN_URLS / total))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(
-        stage(items.union(bare), "items")
+        stage(items, "items")
     )
     rules = model.associationRules.where(F.col("consequent")[0] == _BAD).select(
         F.array_sort("antecedent").alias("rule"), "confidence", "support"
