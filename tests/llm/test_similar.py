@@ -106,6 +106,39 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r.doc_id for r in kept) == [1, 3, 3]
 
 
+@pytest.mark.parametrize("size", [40, 400, 40_000])
+def test_parity_never_counts_more_than_differs(size):
+    rng = np.random.default_rng(size)
+    pool = np.unique(rng.integers(0, 2**63, 2 * size, dtype=np.uint64))
+    base = pool[:size]
+    for own in (0, 1, size // 20, size // 6):
+        a = np.sort(np.concatenate([base[own:], pool[size : size + own]]))
+        b = np.sort(np.concatenate([base[: size - own], pool[size + own : size + 2 * own]]))
+        differ = len(np.setxor1d(a, b))
+        bits = int(np.bitwise_count(np.bitwise_xor(*neardup.parities([a, b])).view(np.uint64)).sum())
+        assert bits <= differ
+        assert size > 400 or bits >= 0.9 * differ
+
+
+def test_copies_below_the_threshold_are_told_apart_by_parity(spark):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(300):
+        own = list(words)
+        for at in rng.sample(range(200), rng.randrange(1, 7)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    assert sorted(map(tuple, found(spark, rows).collect())) == sorted(by_hand(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = neardup.sign(docs)
+    sides = neardup._side(signed, "a").crossJoin(neardup._side(signed, "b")).where("a < b")
+    let_by = sides.where(neardup._may_link(85)).count()
+    sets = [shingles(t) for _, t in rows]
+    linked = sum(100 * len(a & b) >= 85 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    assert linked <= let_by <= 1.05 * linked
+
+
 def test_sketch_bounds_the_number_of_different_samples():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 500).astype(np.uint64)
