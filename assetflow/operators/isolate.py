@@ -14,6 +14,11 @@ from assetflow.shared import spread, stage
 
 BatchFunction = Callable[[pd.DataFrame], object]
 
+# Parts of a failing batch up to this size are halved within the task that found the failure; larger
+# ones become the groups of the next round. The files found are the same.
+TASK_FILES = 64
+_ROW, _PART, _SETTLED, _ERROR, _SEC = (f"__isolate_{c}" for c in ("row", "part", "settled", "error", "sec"))
+
 
 def _error(fn: BatchFunction, pdf: pd.DataFrame) -> str | None:
     try:
@@ -23,6 +28,13 @@ def _error(fn: BatchFunction, pdf: pd.DataFrame) -> str | None:
         return str(exc)
 
 
+def _timed(fn: BatchFunction, pdf: pd.DataFrame) -> tuple[float | None, str | None]:
+    """(seconds, None) of a run, or (None, its error)."""
+    start = time.perf_counter()
+    error = _error(fn, pdf)
+    return (time.perf_counter() - start if error is None else None), error
+
+
 def batch_apply_timed(batches: DataFrame, keys: Sequence[str], fn: BatchFunction) -> DataFrame:
     """Run ``fn`` on each batch: keys, n_files, elapsed_sec, error.
 
@@ -32,9 +44,7 @@ def batch_apply_timed(batches: DataFrame, keys: Sequence[str], fn: BatchFunction
     fields = ", ".join(f"{k} {batches.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = time.perf_counter()
-        error = _error(fn, pdf)
-        elapsed = time.perf_counter() - start if error is None else None
+        elapsed, error = _timed(fn, pdf)
         row = {k: pdf[k].iloc[:1].array for k in keys}
         return pd.DataFrame({**row, "n_files": len(pdf), "elapsed_sec": elapsed, "error": error})
 
@@ -64,43 +74,89 @@ def time_engines(batches: DataFrame, engines: dict[str, BatchFunction]) -> DataF
     return stage(timings, "timings")
 
 
+def _halved(fn: BatchFunction, pdf: pd.DataFrame, error: str) -> list[str | None]:
+    """The error of each file of a part that failed with ``error``."""
+    errors: list[str | None] = [None] * len(pdf)
+    pending = [(0, len(pdf), error)]
+    while pending:
+        lo, hi, failure = pending.pop()
+        if hi - lo == 1:
+            errors[lo] = failure
+            continue
+        mid = (lo + hi) // 2
+        for part in ((lo, mid), (mid, hi)):
+            failure = _error(fn, pdf.iloc[slice(*part)])
+            if failure is not None:
+                pending.append((*part, failure))
+    return errors
+
+
 def isolate_bad(
-    batches: DataFrame, keys: Sequence[str], id_columns: Sequence[str], fn: BatchFunction
+    batches: DataFrame,
+    keys: Sequence[str],
+    id_columns: Sequence[str],
+    fn: BatchFunction,
+    task_files: int = TASK_FILES,
 ) -> DataFrame:
     """Find the files on which ``fn`` fails: id columns, ok, error, good_sec; one row per input row.
 
-    ``fn`` runs on a whole batch; only a failing batch is halved until single files fail. Then it
-    runs once more on the good files of the batch together: ``good_sec`` is the time of that, null
-    if there are none or they fail together. For a function that works row by row, give single-file
-    batches or use a column expression.
+    ``fn`` runs on a whole batch; only a failing batch is halved until single files fail. The halves
+    of all failing parts of all batches are run at once, as groups of one Spark round, so a batch of n
+    files takes some log2(n / task_files) rounds however many of its files are bad, and d bad files
+    some 2 d log2(n) runs; parts of up to ``task_files`` files are halved where they failed. A
+    round moves the rows of failing parts only. ``good_sec`` is the time of a run on the good
+    files of the batch together, null if there are none or they fail together. Runs when called,
+    and stores what was found. Null keys form a batch like any other. Input columns may have any
+    name that does not start with ``__isolate_``. For a function that works row by row, give
+    single-file batches or use a column expression.
     """
-    fields = ", ".join(f"{c} {batches.schema[c].dataType.simpleString()}" for c in id_columns)
+    names, ids = batches.columns, list(id_columns)
+    fields = ", ".join(f"{c} {batches.schema[c].dataType.simpleString()}" for c in ids)
+    rows = stage(batches.withColumn(_ROW, F.monotonically_increasing_id()), "isolate-rows")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        errors: list[str | None] = [None] * len(pdf)
-        pending = [(0, len(pdf))]
-        while pending:
-            lo, hi = pending.pop()
-            error = _error(fn, pdf.iloc[lo:hi])
-            if error is None:
-                continue
-            if hi - lo == 1:
-                errors[lo] = error
-            else:
-                mid = (lo + hi) // 2
-                pending += [(lo, mid), (mid, hi)]
-        fine = [e is None for e in errors]
-        good_sec = None
-        if any(fine):
-            start = time.perf_counter()
-            if _error(fn, pdf[fine]) is None:
-                good_sec = time.perf_counter() - start
-        return pdf[list(id_columns)].assign(ok=fine, error=errors, good_sec=good_sec)
+    def good_seconds(files: pd.DataFrame, errors: pd.Series) -> float | None:
+        fine = errors.isna()
+        return _timed(fn, files[fine].reset_index(drop=True))[0] if fine.any() else None
 
-    return spread(batches, *keys).groupBy(*keys).applyInPandas(
-        run, f"{fields}, ok boolean, error string, good_sec double"
-    )
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(_ROW, ignore_index=True)
+        files, part = pdf[names], pdf[_PART]
+        good_sec, error = _timed(fn, files)
+        errors = pd.Series([None] * len(pdf), dtype=object)
+        settled = error is None or len(pdf) <= task_files
+        if not settled:
+            part = 2 * part + (pdf.index >= len(pdf) // 2)
+        elif error is not None:
+            errors = pd.Series(_halved(fn, files, error), dtype=object)
+            if part[0] == 1:
+                good_sec = good_seconds(files, errors)
+        found = {_ROW: pdf[_ROW], _PART: part, _SETTLED: settled, _ERROR: errors, _SEC: good_sec}
+        return pdf[ids].assign(**found)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(_ROW, ignore_index=True)
+        return pdf[ids].assign(**{_ERROR: pdf[_ERROR], _SEC: good_seconds(pdf[names], pdf[_ERROR])})
+
+    result = [*ids, F.col(_ERROR).isNull().alias("ok"), F.col(_ERROR).alias("error"), F.col(_SEC).alias("good_sec")]
+    outcome_type = f"{fields}, {_ROW} long, {_PART} long, {_SETTLED} boolean, {_ERROR} string, {_SEC} double"
+    pending, parts, whole = rows.withColumn(_PART, F.lit(1).cast("long")), [], None
+    while True:
+        tried = spread(pending, *keys, _PART).groupBy(*keys, _PART).applyInPandas(run, outcome_type)
+        outcome = stage(tried, "isolate-round")
+        if whole is None:
+            # Batches that need no second round are done, their good files timed.
+            whole = outcome.where(_SETTLED).select(*result)
+        else:
+            parts.append(outcome.where(_SETTLED).select(_ROW, _ERROR))
+        failing = outcome.where(~F.col(_SETTLED)).select(_ROW, _PART)
+        if failing.isEmpty():
+            break
+        pending = stage(pending.drop(_PART).join(failing, _ROW), "isolate-pending")
+    if not parts:
+        return whole
+    halved = rows.join(reduce(DataFrame.union, parts), _ROW)
+    timed = spread(halved, *keys).groupBy(*keys).applyInPandas(finish, f"{fields}, {_ERROR} string, {_SEC} double")
+    return whole.unionByName(stage(timed, "isolated").select(*result))
 
 
 def bad_only(isolated: DataFrame) -> DataFrame:

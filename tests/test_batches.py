@@ -56,6 +56,47 @@ def test_isolation_loses_nothing(spark):
     assert timed[1].elapsed_sec >= 0 and timed[1].error is None
 
 
+def test_isolation_in_rounds(spark):
+    """Ten bad files of 6,000: each is found, in rounds over halves, with few runs."""
+    bad = set(range(17, 6000, 600))
+    runs, seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def fail_on_bad(pdf):
+        runs.add(1)
+        seen.add(len(pdf))
+        spoiled = bad.intersection(pdf["id"])
+        if spoiled:
+            raise ValueError(f"{len(spoiled)} bad")
+
+    df = spark.range(6200).selectExpr("id", "if(id < 6000, null, id div 100) as b", "cast(null as int) as __error")
+    got = isolate.isolate_bad(df.repartition(5), ["b"], ["id", "b"], fail_on_bad)
+    rows = got.collect()
+    assert sorted(r.id for r in rows) == list(range(6200))
+    assert {r.id: r.error for r in rows if not r.ok} == {i: "1 bad" for i in bad}
+    assert all(r.error is None for r in rows if r.ok) and all(r.good_sec >= 0 for r in rows)
+    # Three whole batches, two halves of each of at most 10 * 13 failing parts, one run of the good files.
+    assert runs.value <= 3 + 2 * 10 * 13 + 1
+    assert seen.value <= 6200 + 10 * 2 * 6000 + 6000
+
+
+@pytest.mark.parametrize("task_files", [1, 2, 5, 64])
+def test_isolation_does_not_depend_on_the_size_of_a_task(spark, task_files):
+    def fails(pdf):
+        if (pdf["v"] < 0).any() or (len(pdf) > 6 and pdf["v"].isna().any()):
+            raise ValueError("bad")
+
+    values = [(b, i, -1 if b == 1 and i % 4 == 0 else None if b == 2 and i == 3 else i) for b in range(3) for i in range(9)]
+    values += [(3, i, -1) for i in range(5)]
+    df = spark.createDataFrame(values, "b long, id long, v long").coalesce(1)
+    got = {(r.b, r.id): r for r in isolate.isolate_bad(df, ["b"], ["b", "id"], fails, task_files).collect()}
+    assert {k for k, r in got.items() if not r.ok} == {(1, 0), (1, 4), (1, 8)} | {(3, i) for i in range(5)}
+    assert len(got) == len(values)
+    # Batch 2 fails as a whole only, so its files are all good and cannot be timed together.
+    assert {b for (b, _), r in got.items() if r.good_sec is None} == {2, 3}
+    empty = isolate.isolate_bad(df.limit(0), ["b"], ["b", "id"], fails, task_files)
+    assert (empty.count(), empty.columns) == (0, ["b", "id", "ok", "error", "good_sec"])
+
+
 def test_report_of_measured_functions(spark):
     def slow(pdf):
         time.sleep(0.02)
