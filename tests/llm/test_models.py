@@ -115,6 +115,27 @@ def test_contexts_help_on_held_out_text(spark):
     assert held and sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)
 
 
+def test_whole_words_are_contexts(spark):
+    """Words of one ending, each with a word that follows it: their endings tell nothing."""
+    rng = random.Random(4)
+    follow = {f"{a}{b}ing": f"{b}{a}er" for a in "bdfgk" for b in "lmnpr"}
+    rows = []
+    for i in range(300):
+        words = [rng.choice(sorted(follow)) for _ in range(40)]
+        rows.append((i, " ".join(f"{w} {follow[w]}" for w in words)))
+    found = langmodel.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    held = [r for r in found if r.held_out]
+    assert held and sum(r.score for r in held) / sum(r.n_tokens for r in held) > -0.9
+
+
+def test_pairs_of_a_piece_are_a_word_after_a_word():
+    piece = langmodel._Piece(langmodel.Hasher(), [b"making it", b"taking it", None])
+    after = piece.ending == ord("n") * 256 + ord("g")
+    assert after.sum() == 2 and len(set(piece.word_of[after].tolist())) == 1
+    assert len(set(piece.context[after].tolist())) == 2
+    assert len(piece.context) == 2 + 2 + 1 + 1
+
+
 def model(texts):
     """A part that holds all words of some texts, after some sweeps, and its totals."""
     piece = langmodel._Piece(langmodel.Hasher(), [t.encode() for t in texts])
