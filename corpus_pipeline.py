@@ -30,8 +30,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token ids of each document."""
-    return bpe.encode(docs.select("doc_id", "text"), decoded=False)
+    """doc_id, n_tokens, token ids and the text decoded from them of each document."""
+    return bpe.encode(docs.select("doc_id", "text"))
 
 
 STAGES = [

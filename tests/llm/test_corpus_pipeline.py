@@ -74,6 +74,17 @@ def test_pipeline_equals_a_plain_one(spark, edge_dir, which):
     assert sorted(((r.doc_id, r.n_tokens, list(r.ids)) for r in found), key=str) == sorted(expected, key=str)
 
 
+def test_encoded_documents_are_decoded(spark, edge_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.DEFAULT_VOCABULARY))
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    rows = corpus_pipeline.encoded(spark, docs, edge_dir).collect()
+    assert len(rows) == docs.count()
+    assert all(r.decoded == library.decode(list(r.ids), skip_special_tokens=False) for r in rows)
+
+
 def test_stages_keep_the_columns(spark, edge_dir, empty_dir):
     for sf_dir in (edge_dir, empty_dir):
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
