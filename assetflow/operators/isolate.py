@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assetflow.shared import spread, stage
 
@@ -17,6 +18,7 @@ BatchFunction = Callable[[pd.DataFrame], object]
 # Parts of a failing batch up to this size are halved within the task that found the failure; larger
 # ones become the groups of the next round. The files found are the same.
 TASK_FILES = 64
+_GROUP, _FILLED = "__isolate_group", "__isolate_filled_"
 _ROW, _PART, _SETTLED, _ERROR, _SEC = (f"__isolate_{c}" for c in ("row", "part", "settled", "error", "sec"))
 
 
@@ -42,15 +44,64 @@ def batch_apply_timed(batches: DataFrame, keys: Sequence[str], fn: BatchFunction
     identify batches of bounded size, as ``batch_assign`` makes them.
     """
     fields = ", ".join(f"{k} {batches.schema[k].dataType.simpleString()}" for k in keys)
+    names = batches.columns
+    exact = [f.name for f in batches.schema.fields if isinstance(f.dataType, (T.IntegralType, T.BooleanType))]
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_groups(chunks):
+            plain = pdf[names]
+            # With a null elsewhere in the chunk they came as other types.
+            other = [c for c in exact if pdf[c].dtype != pdf[_FILLED + c].dtype]
+            missing = {c: pdf[c].isna().to_numpy() for c in other}
+            times, errors = [], []
+            ends = [*starts[1:], len(pdf)]
+            for lo, hi in zip(starts, ends, strict=True):
+                files = plain.iloc[lo:hi].reset_index(drop=True)
+                for c in other:
+                    if not missing[c][lo:hi].any():
+                        files[c] = pdf[_FILLED + c].to_numpy()[lo:hi]
+                elapsed, error = _timed(fn, files)
+                times.append(elapsed)
+                errors.append(error)
+            found = {}
+            for k in keys:
+                found[k] = pdf[k].iloc[starts].array
+                if k in other:
+                    filled = pdf[_FILLED + k].iloc[starts]
+                    found[k] = filled.astype(object).where(~missing[k][starts], None).array
+            n_files = [hi - lo for lo, hi in zip(starts, ends, strict=True)]
+            yield pd.DataFrame(
+                {**found, "n_files": n_files, "elapsed_sec": pd.array(times, "Float64"), "error": pd.array(errors, object)}
+            )
+
+    filled = {_FILLED + c: F.coalesce(c, F.lit(0).cast(batches.schema[c].dataType)) for c in exact}
+    group = F.xxhash64(*keys, *[F.isnull(k) for k in keys]) if keys else F.lit(0)
+    return (
+        spread(batches.withColumns({**filled, _GROUP: group}), *keys)
+        .sortWithinPartitions(*keys)
+        .mapInPandas(run, f"{fields}, n_files long, elapsed_sec double, error string")
+    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        elapsed, error = _timed(fn, pdf)
-        row = {k: pdf[k].iloc[:1].array for k in keys}
-        return pd.DataFrame({**row, "n_files": len(pdf), "elapsed_sec": elapsed, "error": error})
 
-    return spread(batches, *keys).groupBy(*keys).applyInPandas(
-        run, f"{fields}, n_files long, elapsed_sec double, error string"
-    )
+def _whole_groups(chunks: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Sorted rows in frames that hold whole groups, and where these start."""
+    held: list[pd.DataFrame] = []
+    for chunk in chunks:
+        if not len(chunk):
+            continue
+        group = chunk[_GROUP].to_numpy()
+        starts = [int(i) for i in (group[1:] != group[:-1]).nonzero()[0] + 1]
+        if held and held[0][_GROUP].iloc[0] != group[0]:
+            starts.insert(0, 0)
+        if not starts:
+            held.append(chunk)
+            continue
+        pdf = pd.concat([*held, chunk.iloc[: starts[-1]]], ignore_index=True)
+        before = len(pdf) - starts[-1]
+        yield pdf, [0, *[before + i for i in starts[:-1] if before + i]]
+        held = [chunk.iloc[starts[-1] :]]
+    if held:
+        yield pd.concat(held, ignore_index=True), [0]
 
 
 def batch_key(batches: DataFrame) -> list[str]:

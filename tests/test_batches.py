@@ -164,3 +164,23 @@ def test_curve_counts_files(spark):
     timings = spark.createDataFrame(rows, "file_type string, batch_id long, engine string, n_files long, elapsed_sec double, failed boolean")
     curve = {r.num_files: r.baseline_sec for r in report.speedup_curve(timings, (10, 50, 90, 100)).collect()}
     assert curve == {50: 1.0, 90: 3.0, 100: 3.0, 120: 4.0}
+
+
+def test_batches_of_one_task_share_python_calls(spark):
+    """Small batches reach Python in chunks of many, each whole and with its own types."""
+
+    def kinds(batch):
+        raise ValueError(f"{len(batch)} {batch['n'].dtype} {batch['n'].sum():.0f} {list(batch.index)}")
+
+    rows = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, null, 'a') as codec", "id div 6 as batch_id", "if(id % 50 = 0, null, id) as n", "id"
+    )
+    timed = isolate.batch_apply_timed(rows.coalesce(1), ["codec", "batch_id"], kinds)
+    assert "FlatMapGroups" not in timed._jdf.queryExecution().toString()  # a call for each batch
+    found = timed.collect()
+    assert len(found) == 1000 and {(r.codec, r.n_files) for r in found} == {(None, 2), ("a", 4)}
+    for r in found:
+        ids = [i for i in range(6 * r.batch_id, 6 * r.batch_id + 6) if (i % 3 == 0) == (r.codec is None)]
+        left = [i for i in ids if i % 50]
+        kind = "int64" if len(left) == len(ids) else "float64"
+        assert r.error == f"{len(ids)} {kind} {sum(left)} {list(range(len(ids)))}" and r.elapsed_sec is None
